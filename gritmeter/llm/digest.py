@@ -16,6 +16,8 @@ from .storage import as_text, bounded_broadcast, stash
 #: Copies are looked up by a broadcast id list up to so many ids (16 bytes each), by a shuffled join beyond.
 BROADCAST_IDS = 500_000
 _LEAST = -(2**63)
+#: White space but the plain space, as left by NFKC.
+_SPACES = r"\t\n\x0B\f\r\x1C-\x1F\u0085\u1680\u2028\u2029"
 
 
 def canonical(text: Column) -> Column:
@@ -25,7 +27,7 @@ def canonical(text: Column) -> Column:
     nfkc = lambda c: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
     fold = lambda c: F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
     folded = F.when(ascii_only, plain).otherwise(nfkc(fold(nfkc(text))))
-    return F.trim(F.regexp_replace(folded, r"[\s\x0B\x1C-\x1F\u0085   -     　]+", " "))
+    return F.trim(F.regexp_replace(folded, rf"(?: (?=[{_SPACES} ])|[{_SPACES}])[{_SPACES} ]*", " "))
 
 
 def wide_hash(canon: Column) -> Column:
@@ -118,7 +120,7 @@ def fingerprints(docs: DataFrame, shards: int | None = None) -> DataFrame:
     an empty result. Other columns are ignored.
     """
     base = as_text(docs)
-    hashed = base.select("doc_id", "text", wide_hash(canonical(F.col("text"))).alias("h"))
+    hashed = base.withColumn("canon", canonical(F.col("text"))).select("doc_id", "text", wide_hash(F.col("canon")).alias("h"))
     rows = with_next(hashed, ["text", "h"], shards)
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
@@ -126,7 +128,8 @@ def fingerprints(docs: DataFrame, shards: int | None = None) -> DataFrame:
     same = lambda a, b: (canonical(a) == canonical(b)).cast("double")
     keys = stash(
         rows.withColumn("edited", edited)
-        .withColumn("eh", wide_hash(canonical(F.col("edited"))))
+        .withColumn("canon", canonical(F.col("edited")))
+        .withColumn("eh", wide_hash(F.col("canon")))
         .select(
             "doc_id",
             n.cast("long").alias("n_chars"),
