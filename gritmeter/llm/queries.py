@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, digest
+from . import decontam, digest, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_personal_data": op9_personal_data,
     "op6_decontamination": op6_decontamination,
     "op7_fingerprints": op7_fingerprints,
 }
