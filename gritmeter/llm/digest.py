@@ -11,11 +11,11 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import id_bounds, order_key, shard_count, shard_of
 from .storage import as_text, bounded_broadcast, stash
 
 #: Copies are looked up by a broadcast id list up to so many ids (16 bytes each), by a shuffled join beyond.
 BROADCAST_IDS = 500_000
-_LEAST = -(2**63)
 #: White space but the plain space, as left by NFKC.
 _SPACES = r"\t\n\x0B\f\r\x1C-\x1F\u0085\u1680\u2028\u2029"
 
@@ -57,21 +57,6 @@ def collisions(keys: DataFrame, texts: DataFrame, id_column: str = "doc_id") ->
     return again.join(unequal, "h", "left_semi").distinct().select("h", "canon", nth.alias("nth"))
 
 
-def _shard(order: Column, bounds: list[int]) -> Column:
-    """Index of the last bound that is not above ``order``, by binary decisions."""
-    if len(bounds) == 1:
-        return F.lit(0)
-    tree = list(enumerate(bounds))
-
-    def cut(part: list[tuple[int, int]]) -> Column:
-        if len(part) == 1:
-            return F.lit(part[0][0])
-        mid = len(part) // 2
-        return F.when(order < part[mid][1], cut(part[:mid])).otherwise(cut(part[mid:]))
-
-    return cut(tree)
-
-
 def with_next(docs: DataFrame, payload: list[str], shards: int | None = None) -> DataFrame:
     """Each row with the ``payload`` of the row that follows in ascending (doc_id, text), as next_*; the first follows the last.
 
@@ -79,19 +64,11 @@ def with_next(docs: DataFrame, payload: list[str], shards: int | None = None) ->
     go to the range before, as ghosts, so one shuffle suffices and no range is
     bounded to one task's memory (window sorts spill).
     """
-    spark = docs.sparkSession
-    shards = shards or min(512, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = F.coalesce(F.col("doc_id"), F.lit(_LEAST).cast("long"))
-    cuts = docs.select(order.alias("o")).agg(
-        F.min("o").alias("least"), F.percentile_approx("o", F.array(*[F.lit(i / shards) for i in range(1, shards)]) if shards > 1 else F.array(F.lit(0.5)), 10_000).alias("b")
-    ).first()
-    if cuts["least"] is None:
-        bounds = [_LEAST]
-    else:
-        bounds = sorted({cuts["least"], *(cuts["b"] if shards > 1 else [])})
+    order = order_key()
+    bounds = id_bounds(docs, shards or shard_count(docs))
     last = len(bounds) - 1
-    own = F.struct(_shard(order, bounds).alias("shard"), F.lit(0).alias("wrap"), F.lit(False).alias("ghost"))
-    before = F.struct((_shard(order, bounds) - 1).alias("shard"), F.lit(0).alias("wrap"), F.lit(True).alias("ghost"))
+    own = F.struct(shard_of(order, bounds).alias("shard"), F.lit(0).alias("wrap"), F.lit(False).alias("ghost"))
+    before = F.struct((shard_of(order, bounds) - 1).alias("shard"), F.lit(0).alias("wrap"), F.lit(True).alias("ghost"))
     round_ = F.struct(F.lit(last).alias("shard"), F.lit(1).alias("wrap"), F.lit(True).alias("ghost"))
     places = F.when(order == bounds[0], F.array(own, round_))
     if last:
