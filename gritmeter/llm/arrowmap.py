@@ -27,7 +27,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
+def map_slices(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``make()`` runs once a task and returns a function from a slice to columns of ``schema``."""
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
@@ -36,7 +36,7 @@ def map_slices(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Recor
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 got = work(part)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, digest, pieces, pii, tokencounts, tokenfile
+from . import decontam, digest, minhash, pieces, pii, tokencounts, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +44,12 @@ def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_near_duplicates": op8_near_duplicates,
     "op3_merge_dropout": op3_merge_dropout,
     "op10_token_counts": op10_token_counts,
     "op4_token_files": op4_token_files,
@@ -54,5 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op8_near_duplicates": minhash.ORACLE,
     "op6_decontamination": decontam.ORACLE,
 }
