@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, digest, language, minhash, pieces, pii, tokencounts, tokenfile
+from . import decontam, digest, language, minhash, pieces, pii, quality, tokencounts, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +52,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality": op5_quality,
     "op2_language": op2_language,
     "op8_near_duplicates": op8_near_duplicates,
     "op3_merge_dropout": op3_merge_dropout,
