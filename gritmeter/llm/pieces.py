@@ -167,28 +167,37 @@ def decode(encoded: DataFrame, model: str, id_column: str = "doc_id") -> DataFra
     return encoded.select(id_column, "ids").mapInArrow(run, f"`{id_column}` {kind}, text string")
 
 
-def round_trip(documents: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
-    """One row per row of ``documents`` (doc_id, text): n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), lossless.
+def with_ids(documents: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+    """One row per row of ``documents`` (doc_id, text): n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), lossless, ids.
 
     lossless says whether decoding those ids gave the text back, byte for byte. A
     null text counts as empty: no ids, lossless. Repeated rows get equal ids; an
     empty table gives an empty result; other columns are ignored.
     """
+    return _encoded(documents, model, dropout, seed, variants, True)
+
+
+def round_trip(documents: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+    """As ``with_ids``, without the ids."""
+    return _encoded(documents, model, dropout, seed, variants, False)
+
 
+def _encoded(documents: DataFrame, model: str, dropout: float, seed: int, variants: int, give_ids: bool) -> DataFrame:
     def make():
         code = coder(model, dropout, seed, variants)
 
         def work(part):
             texts = [t or "" for t in part.column("text").to_pylist()]
             ids = [code.encode(t) for t in texts]
-            return {
+            got = {
                 "doc_id": part.column("doc_id"),
                 "n_tokens": [len(x) // 4 for x in ids],
                 "ids_crc32": [zlib.crc32(x) for x in ids],
                 "lossless": [code.decode(x) == t.encode() for t, x in zip(texts, ids, strict=True)],
             }
+            return got | {"ids": [np.frombuffer(x, "<i4") for x in ids]} if give_ids else got
 
         return work
 
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return map_slices(docs, "text", make, "doc_id long, n_tokens long, ids_crc32 long, lossless boolean")
+    return map_slices(docs, "text", make, "doc_id long, n_tokens long, ids_crc32 long, lossless boolean" + ", ids array<int>" * give_ids)
