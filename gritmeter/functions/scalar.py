@@ -182,7 +182,7 @@ def path_ignored(path: Column, patterns: list[str]) -> Column:
 
 def has_word(text: Column, word: Column) -> Column:
     """Whether ``word`` stands in ``text`` with no ASCII letter, digit or underscore beside it."""
-    return text.rlike(F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), word, F.lit(r"\E(?![A-Za-z0-9_])")))
+    return F.rlike(text, F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), word, F.lit(r"\E(?![A-Za-z0-9_])")))
 
 
 def half_away(value: float) -> int:
