@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..plans.cut import cut
 
 
 def _fan(imports: DataFrame, key: str, prefix: str) -> DataFrame:
@@ -76,16 +77,16 @@ def strong_components(pairs: list[tuple[str, str]]) -> Iterator[list[str]]:
                         yield sorted(part)
 
 
-def trimmed(graph: DataFrame, rounds: int = 3) -> DataFrame:
+def trimmed(graph: DataFrame, rounds: int = 2) -> DataFrame:
     """Edges that may lie on a cycle: a node without edges in or without edges out is on none, and is peeled off ``rounds`` times.
 
     In ordinary import graphs modules import nothing, so this leaves next to
     nothing for the component search of a repository.
     """
-    left = graph.where("src != dst")
+    left = cut(graph.where("src != dst").select("repo_id", "src", "dst"))
     for _ in range(rounds):
         both = left.select("repo_id", F.col("src").alias("node")).intersect(left.select("repo_id", F.col("dst").alias("node")))
-        left = left.join(both.withColumnRenamed("node", "src"), ["repo_id", "src"], "left_semi").join(both.withColumnRenamed("node", "dst"), ["repo_id", "dst"], "left_semi")
+        left = cut(left.join(both.withColumnRenamed("node", "src"), ["repo_id", "src"], "left_semi").join(both.withColumnRenamed("node", "dst"), ["repo_id", "dst"], "left_semi").select("repo_id", "src", "dst"))
     return left
 
 
