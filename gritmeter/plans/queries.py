@@ -438,14 +438,14 @@ def fan_in(spark, d):
 
 _NATIONS = (
     "ed AS (SELECT DISTINCT 'w' AS repo_id, cn.n_name AS src, sn.n_name AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey "
-    "JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey WHERE l_quantity > 49.5 AND l_discount > 0.09 AND c_custkey % 3 = 0)"
+    "JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey WHERE l_quantity > 49.5 AND l_discount > 0.09)"
 )
 
 
 def _nation_edges(spark: SparkSession, d: str) -> DataFrame:
     nation = _read(spark, d, "nation").select("n_nationkey", "n_name")
     line = _read(spark, d, "lineitem").where("l_quantity > 49.5 AND l_discount > 0.09")
-    joined = line.join(_read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(_read(spark, d, "customer").where("c_custkey % 3 = 0"), F.col("o_custkey") == F.col("c_custkey")).join(_read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = line.join(_read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(_read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     named = joined.join(nation.toDF("ck", "src"), F.col("c_nationkey") == F.col("ck")).join(nation.toDF("sk", "dst"), F.col("s_nationkey") == F.col("sk"))
     return named.select(F.lit("w").alias("repo_id"), "src", "dst").distinct()
 
