@@ -181,19 +181,19 @@ def train(documents: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) ->
     return network
 
 
-def apply(documents: DataFrame, model: Network | float, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``documents`` and the score of each row's whole text."""
+def apply(documents: DataFrame, model: Network | float, keep: list[str], score: str = "_score") -> DataFrame:
+    """``keep`` columns of ``documents`` and, as ``score``, that of each row's whole text."""
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
 
     def make():
         def work(part):
             texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
             y = np.full(len(texts), model) if isinstance(model, float) else model.score(texts)
-            return {n: part.column(n) for n in keep} | {"_score": pa.array(y, pa.float64())}
+            return {n: part.column(n) for n in keep} | {score: pa.array(y, pa.float64())}
 
         return work
 
-    return map_slices(documents.select(*dict.fromkeys([*keep, "text"])), "text", make, ", ".join(f"`{n}` {kinds[n]}" for n in keep) + ", `_score` double", _SLICE)
+    return map_slices(documents.select(*dict.fromkeys([*keep, "text"])), "text", make, ", ".join(f"`{n}` {kinds[n]}" for n in keep) + f", `{score}` double", _SLICE)
 
 
 def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -211,4 +211,7 @@ def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``documents`` whose score reaches the threshold."""
-    return apply(documents, train(documents, labels), documents.columns).where(F.col("_score") >= THRESHOLD).drop("_score")
+    score = "_score"
+    while score in documents.columns:
+        score += "_"
+    return apply(documents, train(documents, labels), documents.columns, score).where(F.col(score) >= THRESHOLD).drop(score)

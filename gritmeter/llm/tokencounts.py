@@ -43,7 +43,7 @@ def write_flat(documents: DataFrame, folder: str, vocabulary: str, end_id: int,
                 out = out or fs.open_output_stream(name)
                 for ids in code.encode(part.column("text").to_pylist()):
                     out.write(np.frombuffer(ids, "<u4").astype(dtype).tobytes() + end)
-                yield pa.RecordBatch.from_arrays([pa.array([file] * part.num_rows), pa.array(range(at, at + part.num_rows), pa.int64()), part.column("doc_id").cast(pa.int64())], ["file", "ordinal", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array([file] * part.num_rows, pa.string()), pa.array(range(at, at + part.num_rows), pa.int64()), part.column("doc_id").cast(pa.int64())], ["file", "ordinal", "doc_id"])
                 at += part.num_rows
         if out is not None:
             out.close()
@@ -61,7 +61,7 @@ def blocks(spark: SparkSession, folder: str, files: DataFrame, dtype: str = "<u2
                 fs, name = _fs(f"{folder}/{file}.ids")
                 total = fs.get_file_info(name).size // width
                 firsts = np.arange(0, total, block_ids, dtype="<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(firsts)), pa.array(np.arange(len(firsts), dtype="<i8")), pa.array(firsts), pa.array(np.minimum(block_ids, total - firsts))], ["file", "block", "first", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(firsts), pa.string()), pa.array(np.arange(len(firsts), dtype="<i8")), pa.array(firsts), pa.array(np.minimum(block_ids, total - firsts))], ["file", "block", "first", "n"])
 
     return files.select("file").distinct().mapInArrow(cut, "file string, block long, first long, n long")
 
