@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .arrowmap import map_slices
 
 DROPOUT, SEED, VARIANTS = 0.1, 17, 2
-#: (variant, word) results that a worker keeps at most, and as many segments, about 130 bytes each.
-CACHE_WORDS = 1_000_000
+#: (variant, word) results that a worker keeps at most, and half as many segments that are no words, about 150 bytes each.
+CACHE_WORDS = 600_000
+_SLICE = 1_000_000
 _UNITS = re.compile(r" *[^ ]+| +")
 _CODERS: dict[tuple, PieceCoder] = {}
 
@@ -86,31 +87,30 @@ class PieceCoder:
                 out.append(self.ids.get(s) or b"".join([self.byte_id[b] for b in s.lstrip("\0").encode()]))
         return b"".join(out)
 
+    def _part(self, part: str, variant: int) -> bytes:
+        """Ids of a segment; that of a space and a word is kept with the words."""
+        known, key = (self.words[variant], part[1:]) if part[0] == " " and part[1:2] not in ("", " ") else (self.segments[variant], part)
+        if (got := known.get(key)) is None:
+            got = known[key] = self._segment(part, variant)
+        return got
+
     def _unit(self, unit: str, variant: int) -> bytes:
-        known, out = self.segments[variant], []
+        out = []
         for line in unit.split("\n"):
             if out:
                 out.append(self.byte_id[10])
-            if line:
-                end = len(line)
-                if line[-1] in self.marks and line[-2:-1].isalnum():
-                    end -= 1
-                for part in (line[:end], line[end:]):
-                    if part:
-                        if (got := known.get(part)) is None:
-                            got = known[part] = self._segment(part, variant)
-                        out.append(got)
-            else:
-                out.append(b"")
+            end = len(line) - (line[-1:] in self.marks and line[-2:-1].isalnum())
+            out.append(b"".join([self._part(p, variant) for p in (line[:end], line[end:]) if p]))
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit integers; of the empty text, none."""
         if not text:
             return b""
-        if sum(map(len, self.words)) > CACHE_WORDS or sum(map(len, self.segments)) > CACHE_WORDS:
-            for known in (*self.words, *self.segments):
-                known.clear()
+        for kept, most in ((self.words, CACHE_WORDS), (self.segments, CACHE_WORDS // 2)):
+            if sum(map(len, kept)) > most:
+                for known in kept:
+                    known.clear()
         first = xxhash.xxh32_intdigest(text, self.seed)
         parts = text.split(" ")
         if "" in parts:
@@ -123,9 +123,8 @@ class PieceCoder:
             if None in got:
                 for i, x in enumerate(got):
                     if x is None:
-                        if (x := known.get(own[i])) is None:
-                            x = known[own[i]] = self._unit(" " + own[i], variant)
-                        got[i] = x
+                        word = own[i]
+                        got[i] = known.get(word) or known.setdefault(word, self._unit(" " + word, variant))
             out[v :: self.variants] = got
         return b"".join(out)
 
@@ -200,4 +199,4 @@ def _encoded(documents: DataFrame, model: str, dropout: float, seed: int, varian
         return work
 
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return map_slices(docs, "text", make, "doc_id long, n_tokens long, ids_crc32 long, lossless boolean" + ", ids array<int>" * give_ids)
+    return map_slices(docs, "text", make, "doc_id long, n_tokens long, ids_crc32 long, lossless boolean" + ", ids array<int>" * give_ids, _SLICE)
