@@ -24,7 +24,9 @@ from .arrowmap import map_slices
 
 DROPOUT, SEED, VARIANTS = 0.1, 17, 2
 #: (variant, word) results that a worker keeps at most, and half as many segments that are no words, about 150 bytes each.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+#: The same where other stages' workers share the executor, as in the pipeline.
+SHARED_CACHE_WORDS = 600_000
 _SLICE = 1_000_000
 _UNITS = re.compile(r" *[^ ]+| +")
 _CODERS: dict[tuple, PieceCoder] = {}
@@ -33,11 +35,11 @@ _CODERS: dict[tuple, PieceCoder] = {}
 class PieceCoder:
     """One vocabulary, rate and seed, kept in a worker."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, cache: int = CACHE_WORDS):
         import sentencepiece
 
         lib = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.dropout, self.seed, self.variants = dropout, seed, max(1, variants)
+        self.dropout, self.seed, self.variants, self.cache = dropout, seed, max(1, variants), cache
         n = lib.get_piece_size()
         self.ids, self.score, self.bytes_of, self.byte_id = {}, {}, [b""] * n, {}
         for i in range(n):
@@ -107,7 +109,7 @@ class PieceCoder:
         """Ids of ``text`` as little-endian unsigned 32-bit integers; of the empty text, none."""
         if not text:
             return b""
-        for kept, most in ((self.words, CACHE_WORDS), (self.segments, CACHE_WORDS // 2)):
+        for kept, most in ((self.words, self.cache), (self.segments, self.cache // 2)):
             if sum(map(len, kept)) > most:
                 for known in kept:
                     known.clear()
@@ -133,8 +135,8 @@ class PieceCoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:]
 
 
-def coder(path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> PieceCoder:
-    key = (path, dropout, seed, variants)
+def coder(path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, cache: int = CACHE_WORDS) -> PieceCoder:
+    key = (path, dropout, seed, variants, cache)
     if key not in _CODERS:
         _CODERS[key] = PieceCoder(*key)
     return _CODERS[key]
@@ -183,7 +185,7 @@ def round_trip(documents: DataFrame, model: str, dropout: float = DROPOUT, seed:
 
 def _encoded(documents: DataFrame, model: str, dropout: float, seed: int, variants: int, give_ids: bool) -> DataFrame:
     def make():
-        code = coder(model, dropout, seed, variants)
+        code = coder(model, dropout, seed, variants, SHARED_CACHE_WORDS if give_ids else CACHE_WORDS)
 
         def work(part):
             texts = [t or "" for t in part.column("text").to_pylist()]
