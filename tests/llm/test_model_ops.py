@@ -6,6 +6,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -216,6 +217,15 @@ def test_dense_regions_are_cut_deeper(make, monkeypatch):
     assert {r["component_id"] for r in minhash.near_duplicates(make(docs)).collect()} == {0}
 
 
+def test_long_classes_of_one_region_are_ordered_by_their_minima(spark):
+    rng, half = np.random.default_rng(5), 25
+    sig = rng.integers(0, 2**20, (2 * half, minhash.HASHES)).astype(np.uint32)  # as of sets of some thousand shingles
+    sig[:, : minhash.DEPTH] = 7
+    sig[half:, minhash.DEPTH : minhash.DEPTH + 2] = sig[:half, minhash.DEPTH : minhash.DEPTH + 2]
+    classes = spark.createDataFrame([(i, 4000, bytearray(x.tobytes())) for i, x in enumerate(sig)], "node long, n long, sig binary")
+    assert {(i, i + half) for i in range(half)} <= {(r["a"], r["b"]) for r in minhash.candidates(classes).collect()}
+
+
 # -- personal data
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
