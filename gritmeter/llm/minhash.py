@@ -1,15 +1,21 @@
-"""Near-duplicates by a MinHash LSH forest, confirmed on full shingle sets.
+"""Near-duplicates by a MinHash LSH forest and an exact search for what it missed, confirmed on full shingle sets.
 
 Equal shingle sets are one class, found by a 128-bit digest, so copies never meet
 in pairs. Each class enters ``TREES`` orders; in an order it stands in the region of
 classes with which it shares the order's first ``DEPTH`` minima, sorted by the next
 minima, so those that follow one another have the longest common prefixes. A
 class is a candidate for the ``NEIGHBOURS`` that follow it: dense regions are thereby
-searched at a greater depth than sparse ones, without emitting a region's pairs. The
-orders' first minima are disjoint: a pair at the bound of 0.7 shares no region
-with probability (1 - 0.7**3)**48 < 2e-9. A candidate is dropped if its
-signatures agree in under half of the places (over five standard deviations below the
-bound), else its texts are compared by full sets.
+searched at a greater depth than sparse ones, without emitting a region's pairs. A
+candidate is dropped if its signatures agree in under half of the places (over five
+standard deviations below the bound), else its texts are compared by full sets.
+
+The forest may miss links, above all in dense regions; it only saves work. What it
+left in different components is searched exactly, by a prefix-filter join: in one order
+of all shingles, two sets at the bound share one among the first n - ceil(0.7 n) + 1 of
+each. Shingles that a sample shows to be frequent come last in that order, which decides
+the cost and not the result. Bounds on the sizes and on the number of first shingles
+shared thin the pairs out, and all that remain are compared by full sets, so no link of
+0.7 between two components is lost.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ LEAST_AGREEING = HASHES // 2
 REGION_ROWS = 200_000
 #: Ids that are broadcast at most to fetch texts.
 BROADCAST_IDS = 500_000
+#: One class of so many is sampled for frequent shingles: those of at least OFTEN sampled texts, MOST_FREQUENT of them at most.
+SAMPLE, OFTEN, MOST_FREQUENT = 16, 3, 500_000
 _SLICE = 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(8675309))
 _STEP = _RNG.integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,8 +151,8 @@ def candidates(classes: DataFrame) -> DataFrame:
     )
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose full shingle sets reach the bound."""
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose signatures agree in enough places."""
 
     def alike(batches):
         for b in batches:
@@ -153,8 +161,12 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 
     sig = classes.select("node", "sig")
     with_sigs = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    likely = stash(with_sigs.mapInArrow(alike, "a long, b long"), "likely")
-    nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    return stash(with_sigs.mapInArrow(alike, "a long, b long"), "likely")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the stashed ``pairs`` whose full shingle sets reach the bound."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = stash(classes.join(nodes, "node", "left_semi").select("node", "th"), "wanted")
     wanted = bounded_broadcast(wanted, wanted.count(), BROADCAST_IDS)
     texts = docs.join(wanted, (docs["node"] == wanted["node"]) & (docs["th"] == wanted["th"]), "left_semi").dropDuplicates(["node", "th"]).select("node", "text")
@@ -166,10 +178,73 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                 sets = [shingle_sets(b.column(c).cast(pa.binary()).to_pylist()) for c in ("ta", "tb")]
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array([_overlap(x, y) for x, y in zip(*sets, strict=True)], pa.bool_()))
 
-    both = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(compare, "a long, b long")
 
 
+def frequent(members: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of the shingles that are frequent in a sample of ``members`` (th, text), and their counts."""
+
+    def work(part):
+        return {"h": pa.array(np.concatenate(shingle_sets(part.column("text").cast(pa.binary()).to_pylist())).view(np.int64))}
+
+    sample = members.where(F.pmod("th", F.lit(SAMPLE)) == 0).select("text")
+    counts = stash(map_slices(sample, "text", lambda: work, "h long", _SLICE).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= OFTEN), "frequent")
+    least = total = 0
+    for r in sorted(counts.groupBy("k").agg(F.count(F.lit(1)).alias("shingles")).collect(), reverse=True):
+        total += r["shingles"]
+        if total > MOST_FREQUENT:
+            break
+        least = r["k"]
+    got = counts.where(F.col("k") >= (least or 2**62)).toArrow()
+    h, k = (got.column(c).to_numpy() for c in ("h", "k"))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], k[order]
+
+
+def missed(classes: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes in different components of ``found`` (node, component) that may be linked: all that are, by the prefix filter."""
+    comp = stash(classes.select("node", "th", "n").join(found, "node", "left").select("node", "th", F.coalesce("component", "node").alias("comp")), "comp")
+    members = docs.join(bounded_broadcast(comp, comp.count(), BROADCAST_IDS), ["node", "th"]).select("node", "th", "comp", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(members))
+
+    def work():
+        seen, often = shared.value
+
+        def prefixes(part):
+            sets = shingle_sets(part.column("text").cast(pa.binary()).to_pylist())
+            n = np.array([len(s) for s in sets])
+            size = np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
+            values = np.concatenate(sets)
+            at = np.minimum(np.searchsorted(seen, values), max(0, len(seen) - 1))
+            rank = np.where(seen[at] == values, often[at], 0) if len(seen) else np.zeros(len(values), np.int64)
+            out, first = [], 0
+            for s, k in zip(sets, size.tolist(), strict=True):
+                r = rank[first : first + len(s)]
+                first += len(s)
+                out.append(s[np.argsort(r, kind="stable")[:k]] if r.any() else s[:k])
+            return {
+                # 40 bits shuffle in less space; a clash only adds a candidate.
+                "h": pa.array((np.concatenate(out) >> np.uint64(24)).view(np.int64)),
+                "node": pa.array(np.repeat(part.column("node").to_numpy(), size)),
+                "comp": pa.array(np.repeat(part.column("comp").to_numpy(), size)),
+                "n": pa.array(np.repeat(n, size).astype(np.int32)),
+            }
+
+        return prefixes
+
+    rows = map_slices(members.select("node", "comp", "text"), "text", work, "h long, node long, comp long, n int", _SLICE)
+    w = Window.partitionBy("h")
+    mixed = stash(rows.withColumns({"lo": F.min("comp").over(w), "hi": F.max("comp").over(w)}).where("lo < hi").drop("lo", "hi"), "mixed")
+    x, y = (mixed.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n")]) for s in "ab")
+    possible = (F.col("comp_a") < F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    pairs = x.join(y, "h").where(possible).groupBy("node_a", "node_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("first"))
+    # Of the two, one's first shingles end earlier in the order: what they share with the other is among the other's first ones, so only its rest can add to that.
+    most = F.col("first") + F.floor((PERCENT * F.greatest("n_a", "n_b").cast("long") + 99) / 100) - 1
+    near = pairs.where((100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b")).cast("long"))
+    return stash(near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "missed")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b), component the least node reachable; by alternating stars, each round written to the shared folder."""
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
@@ -201,12 +276,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         profiles.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "th", "sig")).alias("r")).select("d1", "d2", "n", F.col("r.doc_id").alias("node"), "r.th", "r.sig"),
         "classes",
     )
-    links = confirmed(candidates(classes), classes, docs)
+    links = confirmed(likely(candidates(classes), classes), classes, docs)
     # Classes that share an id, by its repeated rows, belong together.
     member = profiles.where("n > 0").join(classes.select("d1", "d2", "n", "node"), ["d1", "d2", "n"]).select("doc_id", "node")
     own = member.where("doc_id != node").select(F.col("doc_id").alias("b"), F.col("node").alias("a"))
     twice = own.select("b").union(member.where("doc_id = node").select(F.col("node").alias("b"))).groupBy("b").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("b")
     found = components(links.union(own.join(twice, "b", "left_semi").select("a", "b")))
+    more = stash(confirmed(missed(classes, docs, found), classes, docs), "more")
+    if not more.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     labelled = (
         profiles.select("doc_id", "n", "d1", "d2")
         .join(classes.select("d1", "d2", "n", "node"), ["d1", "d2", "n"], "left")

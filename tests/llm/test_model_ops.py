@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gritmeter.llm import decontam, html, language, minhash, pii, quality
@@ -226,6 +227,27 @@ def test_long_classes_of_one_region_are_ordered_by_their_minima(spark):
     assert {(i, i + half) for i in range(half)} <= {(r["a"], r["b"]) for r in minhash.candidates(classes).collect()}
 
 
+def _family(n):
+    """Texts of 100 words of which each has its own six or seven replaced, in runs of its own: many pairs stand near 0.7."""
+    rng, docs = random.Random(3), []
+    for i in range(n):
+        w = [f"w{k}" for k in range(100)]
+        for k in range(start := rng.randrange(60), start + rng.randrange(4, 13)):
+            w[k] = f"x{i}y{k}"
+        docs.append((i * 7 % 1009, " ".join(w + [f"z{rng.randrange(3)}"] * 5)))
+    return docs
+
+
+@pytest.mark.parametrize("sample", [1, 16])
+def test_links_that_the_forest_misses_are_found(make, monkeypatch, sample):
+    monkeypatch.setattr(minhash, "SAMPLE", sample)
+    monkeypatch.setattr(minhash, "candidates", lambda classes: classes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"))
+    docs = _family(60) + [(2000 + i, " ".join(f"v{i // 2}u{k + i % 2 * 3}" for k in range(30))) for i in range(40)] + [(3000, "short one"), (3001, "Short one"), (3002, None)]
+    want = _brute_groups(docs)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make(docs)).collect()} == want
+    assert len(set(want.values())) > 3
+
+
 # -- personal data
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
