@@ -8,7 +8,7 @@ import numpy as np
 
 #: Distinct pieces, and as many distinct words, that a worker keeps at most; about 130 bytes each.
 CACHE_PIECES = 1_000_000
-_ENCODERS: dict[str, ByteLevelEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], ByteLevelEncoder] = {}
 
 
 class ByteLevelEncoder:
@@ -17,15 +17,18 @@ class ByteLevelEncoder:
     The byte-level pre-tokenizer starts a token at every single space that a
     non-space follows, so a text is cut there; pieces are cut again by the
     library's own pre-tokenizer, and each distinct pre-token is encoded once.
-    Texts that hold a special token's string go through the library as a whole.
+    Texts that hold a special token's string go through the library as a whole;
+    with ``literal`` that string is text like any other, and no text gives a
+    special id.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.lib.encode_special_tokens = literal
+        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values() if not (literal and t.special)]
         self.words: dict[str, bytes] = {}
         #: Keyed by the piece without the space before it; a text's first piece has none and is not kept here.
         self.pieces: dict[str, bytes] = {}
@@ -120,8 +123,8 @@ class ByteLevelEncoder:
         return out
 
 
-def byte_level(path: str) -> ByteLevelEncoder:
+def byte_level(path: str, literal: bool = False) -> ByteLevelEncoder:
     """The worker's encoder for the vocabulary file at ``path``."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ByteLevelEncoder(path)
-    return _ENCODERS[path]
+    if (path, literal) not in _ENCODERS:
+        _ENCODERS[path, literal] = ByteLevelEncoder(path, literal)
+    return _ENCODERS[path, literal]

@@ -28,21 +28,25 @@ def write_flat(documents: DataFrame, folder: str, vocabulary: str, end_id: int,
     """Flat files of ids, ``end_id`` after each document, one file a partition and nothing else; returns what stands where: (file, ordinal, doc_id).
 
     Every task writes under a name of its own, so one that runs twice leaves a
-    file that nobody names.
+    file that nobody names. A special token's string inside a text is encoded as
+    ordinary text; ids that hold ``end_id`` all the same are an error.
     """
     fs, name = _fs(folder)
     fs.create_dir(name, recursive=True)
     end = np.array([end_id], dtype).tobytes()
 
     def save(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, file, at = byte_level(vocabulary), uuid.uuid4().hex, 0
+        code, file, at = byte_level(vocabulary, literal=True), uuid.uuid4().hex, 0
         fs, name = _fs(f"{folder}/{file}.ids")
         out = None
         for batch in batches:
             for part in slices(batch, "text"):
                 out = out or fs.open_output_stream(name)
                 for ids in code.encode(part.column("text").to_pylist()):
-                    out.write(np.frombuffer(ids, "<u4").astype(dtype).tobytes() + end)
+                    own = np.frombuffer(ids, "<u4")
+                    if (own == end_id).any():
+                        raise ValueError(f"a document's ids hold the end id {end_id}")
+                    out.write(own.astype(dtype).tobytes() + end)
                 yield pa.RecordBatch.from_arrays([pa.array([file] * part.num_rows, pa.string()), pa.array(range(at, at + part.num_rows), pa.int64()), part.column("doc_id").cast(pa.int64())], ["file", "ordinal", "doc_id"])
                 at += part.num_rows
         if out is not None:
@@ -101,14 +105,18 @@ def token_counts(documents: DataFrame, vocabulary: str, end_id: int, dtype: str
     """Write ``documents`` (doc_id, text) as flat files, scan those for ``end_id``: doc_id, file, ordinal, start, n_tokens.
 
     Counts come from the files alone; the order in which documents were written
-    only names them. Null texts are empty (0 tokens); repeated rows and ids, null
+    only names them, and a file with more or fewer separators than documents is an
+    error. Null texts are empty (0 tokens); repeated rows and ids, null
     ones too, keep a row each; an empty table gives an empty result.
     """
     spark = documents.sparkSession
     folder = new_path(spark, "flat")
     order = write_flat(documents, folder, vocabulary, end_id, dtype)
     counts = scan(folder, blocks(spark, folder, order, dtype, block_ids), end_id, dtype)
-    return counts.join(order, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    whole = F.col("ended") & F.col("written")
+    checked = F.when(whole, F.col("n_tokens")).otherwise(F.raise_error(F.concat(F.lit("separators and documents differ in number: "), "file")).cast("long"))
+    both = counts.join(order.withColumn("written", F.lit(True)), ["file", "ordinal"], "full")
+    return both.select("doc_id", "file", "ordinal", "start", checked.alias("n_tokens"))
 
 
 __all__ = ["write_flat", "blocks", "scan", "token_counts"]

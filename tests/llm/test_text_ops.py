@@ -119,6 +119,14 @@ def test_separator_scan(spark, make, block):
             at += r["n_tokens"] + 1
 
 
+def test_separator_scan_of_a_text_that_holds_the_separator(spark, make):
+    rows = [(1, "a <|endoftext|> b"), (2, "c d"), (3, "<|endoftext|>"), (4, "tail here too")]
+    lib = Tokenizer.from_file(BPE)
+    lib.encode_special_tokens = True
+    got = tokencounts.token_counts(make(rows).coalesce(1), BPE, 50256).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(i, len(lib.encode(t).ids)) for i, t in rows]
+
+
 def test_separator_scan_of_an_unended_file(spark):
     folder = new_path(spark, "flat")
     tokenfile._fs(folder)[0].create_dir(tokenfile._fs(folder)[1], recursive=True)
