@@ -1,12 +1,12 @@
 """SentencePiece BPE with seeded merge-dropout: encoding and lossless decoding.
 
 Merges are taken from an agenda in order of their pieces' scores, leftmost first.
-A candidate that comes up is skipped when a keyed hash of seed, variant, segment,
-place and merged piece falls below the dropout rate. As no piece spans a space
-that follows another character, nor a line end, a text's segments are independent;
-the words of a document take turns through ``variants`` numbered keys, from a start
-that its text decides. So one word gets several segmentations, all runs give the
-same ones, and a worker keeps the result for each (variant, word).
+Each candidate that comes up is skipped with the dropout's probability, by a hash keyed
+by seed, document (its text) and the word's place in it: the hash gives the gaps from one
+skipped candidate to the next, which are distributed geometrically. As no piece spans a
+space that follows another character, nor a line end, words are independent. A word's
+ids follow from the numbers of its skipped candidates alone, so a worker keeps the
+results for those, of which most are none, and still each occurrence is drawn anew.
 """
 
 from __future__ import annotations
@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowmap import map_slices
+from .wordhash import mix
 
-DROPOUT, SEED, VARIANTS = 0.1, 17, 2
-#: (variant, word) results that a worker keeps at most, and half as many segments that are no words, about 150 bytes each.
+DROPOUT, SEED = 0.1, 17
+#: Words without and a quarter as many with skipped candidates that a worker keeps at most, about 250 bytes each.
 CACHE_WORDS = 1_000_000
 #: The same where other stages' workers share the executor, as in the pipeline.
 SHARED_CACHE_WORDS = 600_000
+#: Candidates of a word beyond which results with skipped ones aren't kept.
+LONG = 40
 _SLICE = 1_000_000
 _UNITS = re.compile(r" *[^ ]+| +")
 _CODERS: dict[tuple, PieceCoder] = {}
@@ -35,11 +38,11 @@ _CODERS: dict[tuple, PieceCoder] = {}
 class PieceCoder:
     """One vocabulary, rate and seed, kept in a worker."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, cache: int = CACHE_WORDS):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, cache: int = CACHE_WORDS):
         import sentencepiece
 
         lib = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.dropout, self.seed, self.variants, self.cache = dropout, seed, max(1, variants), cache
+        self.dropout, self.seed, self.cache = dropout, seed, cache
         n = lib.get_piece_size()
         self.ids, self.score, self.bytes_of, self.byte_id = {}, {}, [b""] * n, {}
         for i in range(n):
@@ -54,11 +57,16 @@ class PieceCoder:
         # Marks before which a word may be cut, as no piece holds one of them after a letter or digit.
         joined = {p[i] for p in self.score for i in range(1, len(p)) if p[i - 1].isalnum()}
         self.marks = tuple(c for c in ",.;:!?" if c not in joined)
-        self.words: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.segments: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def _segment(self, segment: str, variant: int) -> bytes:
-        """Ids of one segment, in which a space stands for the piece's space sign."""
+        # Hashes below the k-th bound keep more than k candidates before one is skipped; beyond the last bound none is.
+        self.bounds = np.array([int((1 - dropout) ** k * 2**32) for k in range(1, 4097)], np.int64)[::-1] if dropout else None
+        #: By a unit without its first space: ids with no candidate skipped, and the number of candidates.
+        self.plain: dict[str, bytes] = {}
+        self.count: dict[str, int] = {}
+        #: By (unit, numbers of skipped candidates): ids and number of candidates.
+        self.dropped: dict[tuple, tuple[bytes, int]] = {}
+
+    def _segment(self, segment: str, state: list) -> bytes:
+        """Ids of one segment, in which a space stands for the piece's space sign; ``state`` has the next candidate's number, that of the next to skip and what gives the one after."""
         # A sign that the text itself holds is no space: it is spelled in bytes.
         symbols = ["▁" if c == " " else "\0▁" if c == "▁" else c for c in segment]
         n, score = len(symbols), self.score
@@ -67,12 +75,14 @@ class PieceCoder:
             if (s := score.get(symbols[i] + symbols[i + 1])) is not None:
                 agenda.append((-s, i, i + 1, symbols[i] + symbols[i + 1]))
         heapq.heapify(agenda)
-        least, key = int(self.dropout * 2**32), f"{variant}|{segment}|"
         while agenda:
             _, i, j, merged = heapq.heappop(agenda)
             if after[i] != j or symbols[i] is None or symbols[j] is None or len(symbols[i]) + len(symbols[j]) != len(merged) or symbols[i] + symbols[j] != merged:
                 continue
-            if least and xxhash.xxh32_intdigest(f"{key}{i}|{merged}", self.seed) < least:
+            k = state[0]
+            state[0] = k + 1
+            if k == state[1]:
+                state[1] = state[2](k)
                 continue
             symbols[i], symbols[j] = merged, None
             k = after[i] = after[j]
@@ -89,45 +99,83 @@ class PieceCoder:
                 out.append(self.ids.get(s) or b"".join([self.byte_id[b] for b in s.lstrip("\0").encode()]))
         return b"".join(out)
 
-    def _part(self, part: str, variant: int) -> bytes:
-        """Ids of a segment; that of a space and a word is kept with the words."""
-        known, key = (self.words[variant], part[1:]) if part[0] == " " and part[1:2] not in ("", " ") else (self.segments[variant], part)
-        if (got := known.get(key)) is None:
-            got = known[key] = self._segment(part, variant)
-        return got
-
-    def _unit(self, unit: str, variant: int) -> bytes:
+    def _unit(self, key: str, state: list) -> tuple[bytes, int]:
+        """Ids of a unit (``key`` and the space before it), and the number of its candidates."""
         out = []
-        for line in unit.split("\n"):
+        for line in (" " + key).split("\n"):
             if out:
                 out.append(self.byte_id[10])
             end = len(line) - (line[-1:] in self.marks and line[-2:-1].isalnum())
-            out.append(b"".join([self._part(p, variant) for p in (line[:end], line[end:]) if p]))
-        return b"".join(out)
+            out.append(b"".join([self._segment(p, state) for p in (line[:end], line[end:]) if p]))
+        return b"".join(out), state[0]
+
+    def _gaps(self, hashes: np.ndarray) -> np.ndarray:
+        """Candidates kept before the next skipped one."""
+        return len(self.bounds) - np.searchsorted(self.bounds, hashes.astype(np.int64), side="right")
+
+    def _after(self, place: int):
+        """A function from a skipped candidate's number to that of the next to skip, by hashes keyed by ``place``."""
+        draws = 0
+
+        def after(k: int) -> int:
+            nonlocal draws
+            draws += 1
+            gap = int(self._gaps(np.array([xxhash.xxh32_intdigest(b"%d|%d" % (place, draws), self.seed)]))[0])
+            return k + 1 + gap if gap < len(self.bounds) else -1
+
+        return after
+
+    def _varied(self, key: str, first: int, place: int) -> bytes:
+        """Ids of a unit whose candidate ``first`` is skipped, and others by hashes keyed by ``place``."""
+        after = self._after(place)
+        if self.count[key] > LONG:
+            return self._unit(key, [0, first, after])[0]
+        skipped = (first,)
+        while True:
+            if (got := self.dropped.get((key, skipped))) is None:
+                rest = iter(skipped[1:])
+                got = self.dropped[key, skipped] = self._unit(key, [0, first, lambda _, rest=rest: next(rest, -1)])
+            nth = after(skipped[-1])
+            if not 0 <= nth < got[1]:
+                return got[0]
+            skipped += (nth,)
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit integers; of the empty text, none."""
         if not text:
             return b""
-        for kept, most in ((self.words, self.cache), (self.segments, self.cache // 2)):
-            if sum(map(len, kept)) > most:
-                for known in kept:
-                    known.clear()
-        first = xxhash.xxh32_intdigest(text, self.seed)
+        if len(self.plain) > self.cache:
+            self.plain.clear()
+            self.count.clear()
+        if len(self.dropped) > self.cache // 4:
+            self.dropped.clear()
         parts = text.split(" ")
         if "" in parts:
-            return b"".join([self._unit(u, (first + i) % self.variants) for i, u in enumerate(_UNITS.findall(" " + text))])
-        out: list = [None] * len(parts)
-        for v in range(min(self.variants, len(parts))):
-            variant = (first + v) % self.variants
-            known, own = self.words[variant], parts[v :: self.variants]
-            got = list(map(known.get, own))
-            if None in got:
-                for i, x in enumerate(got):
-                    if x is None:
-                        word = own[i]
-                        got[i] = known.get(word) or known.setdefault(word, self._unit(" " + word, variant))
-            out[v :: self.variants] = got
+            parts = [u[1:] for u in _UNITS.findall(" " + text)]
+        out = list(map(self.plain.get, parts))
+        first, places = np.full(len(parts), -1), np.zeros(len(parts), np.uint64)
+        if self.dropout:
+            own = np.uint64(xxhash.xxh64_intdigest(text, self.seed))
+            places = mix(own + np.arange(1, len(parts) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            first = self._gaps(places >> np.uint64(32))
+            first[first >= len(self.bounds)] = -1
+        drawn = set()
+        if None in out:
+            for i, x in enumerate(out):
+                if x is None:
+                    key, skip = parts[i], int(first[i])
+                    if (known := self.plain.get(key)) is None:
+                        known, n = self._unit(key, [0, skip, self._after(int(places[i]))])
+                        if 0 <= skip < n:  # drawn at once; what comes once needn't be known without skips
+                            drawn.add(i)
+                        else:
+                            self.plain[key], self.count[key] = known, n
+                    out[i] = known
+        if self.dropout:
+            counts = np.fromiter([self.count.get(p, 0) for p in parts], np.int64, len(parts))
+            for i in np.flatnonzero((first >= 0) & (first < counts)).tolist():
+                if i not in drawn:
+                    out[i] = self._varied(parts[i], int(first[i]), int(places[i]))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
@@ -135,18 +183,18 @@ class PieceCoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:]
 
 
-def coder(path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, cache: int = CACHE_WORDS) -> PieceCoder:
-    key = (path, dropout, seed, variants, cache)
+def coder(path: str, dropout: float = DROPOUT, seed: int = SEED, cache: int = CACHE_WORDS) -> PieceCoder:
+    key = (path, dropout, seed, cache)
     if key not in _CODERS:
         _CODERS[key] = PieceCoder(*key)
     return _CODERS[key]
 
 
-def encode(documents: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, id_column: str = "doc_id") -> DataFrame:
+def encode(documents: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, id_column: str = "doc_id") -> DataFrame:
     """``id_column`` and ``ids`` (array<int>) of every row of ``documents``; a null text has null ids, an empty one none."""
 
     def make():
-        code = coder(model, dropout, seed, variants)
+        code = coder(model, dropout, seed)
         return lambda part: {id_column: part.column(id_column), "ids": [None if t is None else np.frombuffer(code.encode(t), "<i4") for t in part.column("text").to_pylist()]}
 
     kind = documents.schema[id_column].dataType.simpleString()
@@ -168,24 +216,24 @@ def decode(encoded: DataFrame, model: str, id_column: str = "doc_id") -> DataFra
     return encoded.select(id_column, "ids").mapInArrow(run, f"`{id_column}` {kind}, text string")
 
 
-def with_ids(documents: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def with_ids(documents: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), lossless, ids.
 
     lossless says whether decoding those ids gave the text back, byte for byte. A
     null text counts as empty: no ids, lossless. Repeated rows get equal ids; an
     empty table gives an empty result; other columns are ignored.
     """
-    return _encoded(documents, model, dropout, seed, variants, True)
+    return _encoded(documents, model, dropout, seed, True)
 
 
-def round_trip(documents: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def round_trip(documents: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """As ``with_ids``, without the ids."""
-    return _encoded(documents, model, dropout, seed, variants, False)
+    return _encoded(documents, model, dropout, seed, False)
 
 
-def _encoded(documents: DataFrame, model: str, dropout: float, seed: int, variants: int, give_ids: bool) -> DataFrame:
+def _encoded(documents: DataFrame, model: str, dropout: float, seed: int, give_ids: bool) -> DataFrame:
     def make():
-        code = coder(model, dropout, seed, variants, SHARED_CACHE_WORDS if give_ids else CACHE_WORDS)
+        code = coder(model, dropout, seed, SHARED_CACHE_WORDS if give_ids else CACHE_WORDS)
 
         def work(part):
             texts = [t or "" for t in part.column("text").to_pylist()]

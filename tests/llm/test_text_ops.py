@@ -168,6 +168,24 @@ def test_dropout_varies_by_seed_and_repeats():
     assert len(one) > len(pieces.PieceCoder(SP, 0.0, 1).encode(text))
 
 
+def test_dropout_varies_by_place_and_document_at_its_rate():
+    code, rng, key = pieces.PieceCoder(SP), np.random.default_rng(2), "considerations"
+    want = {}
+    for _ in range(4000):  # each candidate skipped by chance alone
+        skips = iter([*np.flatnonzero(rng.random(99) < 0.1).tolist(), -1])
+        ids = code._unit(key, [0, next(skips), lambda _, s=skips: next(s)])[0]
+        want[ids] = want.get(ids, 0) + 1
+    one = code.encode(" ".join([key] * 4000))
+    several = [code.encode(f"{key} {i}") for i in range(4000)]
+    assert code.decode(one).decode() == " ".join([key] * 4000) and len(want) > 20
+    for ids, n in want.items():
+        if n > 150:
+            assert abs(sum(x.startswith(ids) for x in several) - n) < 5 * n**0.5 + 40
+    assert len({x[:40] for x in several}) > 20
+    again = pieces.PieceCoder(SP)
+    assert again.encode("other words first") and again.encode(" ".join([key] * 4000)) == one
+
+
 def test_full_dropout_leaves_characters():
     ids = np.frombuffer(pieces.PieceCoder(SP, 1.0, 1).encode("ab"), "<u4")
     assert len(ids) == 3
