@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 #: Distinct pieces, and as many distinct words, that a worker keeps at most; about 130 bytes each.
 CACHE_PIECES = 1_000_000
+#: A space and other white space after it are of one run, which the pre-tokenizer may keep whole.
+_RUN = re.compile(r" [^\S ]")
 _ENCODERS: dict[tuple[str, bool], ByteLevelEncoder] = {}
 
 
@@ -83,15 +86,15 @@ class ByteLevelEncoder:
                 out.append(self._whole(text) if text else b"")
                 continue
             parts = text.split(" ")
-            if "" in parts:
-                # Runs of spaces: all but the last space of a run belong to what precedes it.
+            if "" in parts or _RUN.search(text):
+                # Runs of white space: all but a last space belong to what precedes it.
                 cut, hold = [], parts[0]
                 for p in parts[1:]:
-                    if p:
+                    if p and not p[0].isspace():
                         cut.append(hold)
                         hold = " " + p
                     else:
-                        hold += " "
+                        hold += " " + p
                 cut.append(hold)
                 odd[k] = [c for c in cut if c]
                 out.append(None)

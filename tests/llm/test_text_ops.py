@@ -70,6 +70,14 @@ def test_byte_level_equals_library(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="xy \u00a0\n\u2003,", max_size=14), max_size=4))
+def test_byte_level_keeps_runs_of_white_space(texts):
+    lib, texts = encoders.byte_level(BPE).lib, [*texts, "x \u00a0 \u00a0 y"]
+    got = encoders.byte_level(BPE).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files(spark, odd):
     lib = Tokenizer.from_file(BPE)
     got = tokenfile.round_trip(odd, BPE).collect()
