@@ -11,7 +11,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import id_bounds, order_key, shard_count, shard_of
+from .ordering import id_bounds, is_bound, order_key, shard_of
 from .storage import as_text, bounded_broadcast, stash
 
 #: Copies are looked up by a broadcast id list up to so many ids (16 bytes each), by a shuffled join beyond.
@@ -65,14 +65,14 @@ def with_next(docs: DataFrame, payload: list[str], shards: int | None = None) ->
     bounded to one task's memory (window sorts spill).
     """
     order = order_key()
-    bounds = id_bounds(docs, shards or shard_count(docs))
+    bounds = id_bounds(docs, shards)
     last = len(bounds) - 1
     own = F.struct(shard_of(order, bounds).alias("shard"), F.lit(0).alias("wrap"), F.lit(False).alias("ghost"))
     before = F.struct((shard_of(order, bounds) - 1).alias("shard"), F.lit(0).alias("wrap"), F.lit(True).alias("ghost"))
     round_ = F.struct(F.lit(last).alias("shard"), F.lit(1).alias("wrap"), F.lit(True).alias("ghost"))
     places = F.when(order == bounds[0], F.array(own, round_))
     if last:
-        places = places.when(order.isin(bounds[1:]), F.array(own, before))
+        places = places.when(is_bound(order, bounds), F.array(own, before))
     w = Window.partitionBy("shard").orderBy("wrap", "o", "text")
     return (
         docs.withColumn("o", order)

@@ -1,28 +1,58 @@
-"""Tokenizers that stay in a worker: per-piece caches in front of the tokenizer libraries, with equal ids."""
+"""Byte-level BPE of the tokenizers library for many texts at once, each distinct piece of a worker's texts encoded once."""
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct pieces, and as many distinct words, that a worker keeps at most; about 130 bytes each.
+from .segments import Store, flat, pieces
+
+#: Distinct pieces that a worker keeps; about 180 bytes each.
 CACHE_PIECES = 1_000_000
-#: A space and other white space after it are of one run, which the pre-tokenizer may keep whole.
-_RUN = re.compile(r" [^\S ]")
 _ENCODERS: dict[tuple[str, bool], ByteLevelEncoder] = {}
 
 
+_LETTER, _DIGIT, _MARK, _SPACE, _WHITE, _OTHER = 1, 2, 3, 4, 5, 0
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[32] = _SPACE
+_CLASS[9:14] = _WHITE
+
+
+def token_starts(data: np.ndarray) -> np.ndarray:
+    """Bytes at which the byte-level pre-tokenizer surely starts a token, whatever stands around; letters beyond Latin-1 and all other signs start none.
+
+    Runs of letters, of digits and of marks are tokens of their own, with one
+    space before them. Nothing is cut behind an apostrophe (contractions) and
+    inside runs of white space, of which the end depends on what follows.
+    """
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    word = (kind >= _LETTER) & (kind <= _MARK)
+    out = np.zeros(len(data), bool)
+    before, here = kind[:-1], kind[1:]
+    # Out of a run: into another kind of run or into white space.
+    out[1:] = word[:-1] & (here != _OTHER) & (here != before)
+    out[1:] &= (data[:-1] != 39) | (here >= _SPACE)
+    # Behind a single line end or tab.
+    out[2:] |= word[:-2] & (kind[1:-1] == _WHITE) & word[2:]
+    return out
+
+
 class ByteLevelEncoder:
-    """Byte-level BPE of the tokenizers library (``add_special_tokens=False``), piece by piece.
-
-    The byte-level pre-tokenizer starts a token at every single space that a
-    non-space follows, so a text is cut there; pieces are cut again by the
-    library's own pre-tokenizer, and each distinct pre-token is encoded once.
-    Texts that hold a special token's string go through the library as a whole;
-    with ``literal`` that string is text like any other, and no text gives a
-    special id.
+    """Byte-level BPE of the tokenizers library (``add_special_tokens=False``).
+
+    Texts are cut where the library's pre-tokenizer cuts them for sure; each
+    distinct piece is encoded once by the library, which cuts it again. Texts that
+    hold a special token's string go through it as a whole; with ``literal`` that
+    string is text like any other, and no text gives a special id.
     """
 
     def __init__(self, path: str, literal: bool = False):
@@ -32,98 +62,73 @@ class ByteLevelEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = literal
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values() if not (literal and t.special)]
-        self.words: dict[str, bytes] = {}
-        #: Keyed by the piece without the space before it; a text's first piece has none and is not kept here.
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Store(CACHE_PIECES)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _split(self, piece: str) -> list[str]:
-        """Pre-tokens of a piece."""
-        if piece.isalpha() or piece[:1] == " " and piece[1:].isalpha():
-            return [piece]
-        if piece[-1] in ",.;:!?" and piece[1:-1].isalpha() and (piece[0] == " " or piece[0].isalpha()) and len(piece) > 2:
-            return [piece[:-1], piece[-1]]
-        return [piece[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(piece)]
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Encode distinct pre-tokens; those of a space and letters many at a time, as one text that splits into just them."""
-        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        alone = [w for w in words if w[0] != " " or not w[1:].isalpha()]
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces as they stand; words with a space before them many at a time, as one text that splits into just them."""
+        got: dict[str, bytes] = {}
+        spaced = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        alone = [p for p in pieces if p[0] != " " or not p[1:].isalpha()]
         for i in range(0, len(spaced), 2000):
             part = spaced[i : i + 2000]
             e = self.lib.encode("".join(part), add_special_tokens=False)
-            at = np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)).tolist()
-            ids = np.array(e.ids, "<u4").tobytes()
-            if e.word_ids[-1] != len(part) - 1:
+            words = np.array(e.word_ids)
+            if words[-1] != len(part) - 1:
                 alone += part
                 continue
-            self.words.update(zip(part, [ids[4 * a : 4 * b] for a, b in zip(at, at[1:])], strict=True))
+            at = np.searchsorted(words, np.arange(len(part) + 1)).tolist()
+            ids = np.array(e.ids, "<u4").tobytes()
+            got.update(zip(part, [ids[4 * a : 4 * b] for a, b in zip(at, at[1:])], strict=True))
         for i in range(0, len(alone), 4096):
             part = alone[i : i + 4096]
-            self.words.update(zip(part, [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(part, add_special_tokens=False)], strict=True))
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces as they stand, by way of the words."""
-        if len(self.words) > CACHE_PIECES:
-            self.words.clear()
-        cut = [self._split(p) for p in pieces]
-        known = self.words
-        if new := {w for c in cut for w in c if w not in known}:
-            self._learn_words(list(new))
-        return [known[c[0]] if len(c) == 1 else b"".join([known[w] for w in c]) for c in cut]
+            got.update(zip(part, [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(part, add_special_tokens=False)], strict=True))
+        return [got[p] for p in pieces]
+
+    def encode_flat(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` one after another, ``end_id`` after each if given, and the bounds of each text's, one more than texts."""
+        store = self.pieces
+        if store.n > store.limit:
+            store.keep(store.often())
+        whole: dict[int, str] = {}
+        for s in self.special:
+            for i in np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False)).tolist():
+                whole[i] = texts[i].as_py()
+        if whole:
+            odd = np.zeros(len(texts), bool)
+            odd[list(whole)] = True
+            texts = pc.if_else(pa.array(odd), "", texts)
+        data, bounds = flat(texts)
+        names, codes, bounds = pieces(data, bounds, token_starts(data) if len(data) > 2 else np.zeros(len(data), bool))
+        rows = list(map(store.row.get, names))
+        if None in rows:
+            new = [k for k, r in zip(names, rows, strict=True) if r is None]
+            first = store.add(self._encode_pieces(new))
+            store.row.update(zip(new, range(first, first + len(new)), strict=True))
+            rows = list(map(store.row.get, names))
+        row_of = np.array(rows, np.int64)
+        store.asked[row_of] += np.bincount(codes, minlength=len(names))
+        rows, n = row_of[codes], store.n
+        if whole:
+            first = store.add([self._whole(whole[i]) for i in sorted(whole)])
+            # Such a text has no pieces so far.
+            own = np.array(sorted(whole))
+            rows = np.insert(rows, bounds[own], np.arange(first, first + len(own)))
+            bounds = bounds + np.searchsorted(own, np.arange(len(bounds)))
+        if end_id is not None:
+            rows = np.insert(rows, bounds[1:], store.add([np.array([end_id], "<u4").tobytes()]))
+            bounds = bounds + np.arange(len(bounds))
+        ids, ends = store.gather(rows)
+        store.drop(n)
+        return ids, np.concatenate([[0], ends])[bounds]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        get = self.pieces.get
-        out: list = []
-        firsts, odd, open_, missing = [], {}, [], set()
-        for k, text in enumerate(texts):
-            if not text or any(s in text for s in self.special):
-                out.append(self._whole(text) if text else b"")
-                continue
-            parts = text.split(" ")
-            if "" in parts or _RUN.search(text):
-                # Runs of white space: all but a last space belong to what precedes it.
-                cut, hold = [], parts[0]
-                for p in parts[1:]:
-                    if p and not p[0].isspace():
-                        cut.append(hold)
-                        hold = " " + p
-                    else:
-                        hold += " " + p
-                cut.append(hold)
-                odd[k] = [c for c in cut if c]
-                out.append(None)
-                continue
-            first, parts[0] = parts[0], ""
-            firsts.append((k, first))
-            got = list(map(get, parts))
-            got[0] = b""
-            if None in got:
-                where = [i for i, x in enumerate(got) if x is None]
-                miss = [parts[i] for i in where]
-                missing.update(miss)
-                open_.append((k, where, miss))
-            out.append(got)
-        if missing:
-            new = list(missing)
-            self.pieces.update(zip(new, self._encode_pieces([" " + p for p in new]), strict=True))
-            learned = self.pieces
-            for k, where, miss in open_:
-                got = out[k]
-                for i, p in zip(where, miss, strict=True):
-                    got[i] = learned[p]
-        if firsts:
-            for (k, _), ids in zip(firsts, self._encode_pieces([f for _, f in firsts]), strict=True):
-                out[k][0] = ids
-                out[k] = b"".join(out[k])
-        for k, cut in odd.items():
-            out[k] = b"".join(self._encode_pieces(cut))
-        return out
+        ids, bounds = self.encode_flat(pa.array(texts, pa.string()))
+        data = ids.astype("<u4").tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def byte_level(path: str, literal: bool = False) -> ByteLevelEncoder:

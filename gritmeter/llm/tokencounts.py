@@ -24,7 +24,7 @@ from .tokenfile import _fs
 BLOCK_IDS = 1_000_000
 
 
-def write_flat(documents: DataFrame, folder: str, vocabulary: str, end_id: int, dtype: str = "<u2") -> DataFrame:
+def write_flat(documents: DataFrame, folder: str, vocabulary: str, end_id: int, dtype: str) -> DataFrame:
     """Flat files of ids, ``end_id`` after each document, one file a partition and nothing else; returns what stands where: (file, ordinal, doc_id).
 
     Every task writes under a name of its own, so one that runs twice leaves a
@@ -33,7 +33,6 @@ def write_flat(documents: DataFrame, folder: str, vocabulary: str, end_id: int,
     """
     fs, name = _fs(folder)
     fs.create_dir(name, recursive=True)
-    end = np.array([end_id], dtype).tobytes()
 
     def save(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, file, at = byte_level(vocabulary, literal=True), uuid.uuid4().hex, 0
@@ -42,11 +41,10 @@ def write_flat(documents: DataFrame, folder: str, vocabulary: str, end_id: int,
         for batch in batches:
             for part in slices(batch, "text"):
                 out = out or fs.open_output_stream(name)
-                for ids in code.encode(part.column("text").to_pylist()):
-                    own = np.frombuffer(ids, "<u4")
-                    if (own == end_id).any():
-                        raise ValueError(f"a document's ids hold the end id {end_id}")
-                    out.write(own.astype(dtype).tobytes() + end)
+                ids, _ = code.encode_flat(part.column("text"), end_id)
+                if np.count_nonzero(ids == end_id) != part.num_rows:
+                    raise ValueError(f"a document's ids hold the end id {end_id}")
+                out.write(ids.astype(dtype).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([file] * part.num_rows, pa.string()), pa.array(range(at, at + part.num_rows), pa.int64()), part.column("doc_id").cast(pa.int64())], ["file", "ordinal", "doc_id"])
                 at += part.num_rows
         if out is not None:
@@ -101,7 +99,14 @@ def scan(folder: str, cut: DataFrame, end_id: int, dtype: str = "<u2") -> DataFr
     return ended.unionByName(tail)
 
 
-def token_counts(documents: DataFrame, vocabulary: str, end_id: int, dtype: str = "<u2", block_ids: int = BLOCK_IDS) -> DataFrame:
+def width_of(vocabulary: str, end_id: int) -> str:
+    """The narrowest of 16 and 32 bits that holds every id."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(vocabulary).get_vocab_size() - 1, end_id) <= 0xFFFF else "<u4"
+
+
+def token_counts(documents: DataFrame, vocabulary: str, end_id: int, dtype: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Write ``documents`` (doc_id, text) as flat files, scan those for ``end_id``: doc_id, file, ordinal, start, n_tokens.
 
     Counts come from the files alone; the order in which documents were written
@@ -110,7 +115,7 @@ def token_counts(documents: DataFrame, vocabulary: str, end_id: int, dtype: str
     ones too, keep a row each; an empty table gives an empty result.
     """
     spark = documents.sparkSession
-    folder = new_path(spark, "flat")
+    folder, dtype = new_path(spark, "flat"), dtype or width_of(vocabulary, end_id)
     order = write_flat(documents, folder, vocabulary, end_id, dtype)
     counts = scan(folder, blocks(spark, folder, order, dtype, block_ids), end_id, dtype)
     whole = F.col("ended") & F.col("written")

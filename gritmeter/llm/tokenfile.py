@@ -4,11 +4,13 @@ A folder holds ``dictionary.zstd`` and, per range of document ids, a pair
 
 * ``shard-NNNNN.tok``: magic ``GTOK1``, one byte of id width (2 or 4), the 32-byte
   SHA-256 of the dictionary, then the frames;
-* ``shard-NNNNN.idx``: the same hash, then three little-endian arrays of equal
-  length: ids (int64), ends of frames (uint64), numbers of tokens (uint64).
+* ``shard-NNNNN.idx``: the same hash, the number of rows without an id (uint64), then
+  three little-endian arrays of equal length: ids (int64), ends of frames (uint64),
+  numbers of tokens (uint64).
 
-Documents stand in ascending id order, in a shard and from shard to shard. A
-short document is reached by a binary search of one index and one read.
+Documents stand in ascending id order, in a shard and from shard to shard, those
+without an id first. A short document is reached by a binary search in the index
+file, down to one block of ids, and one read of its frame.
 Files appear under their names only when whole (written aside, then renamed), so a
 task that is run again leaves the same files.
 """
@@ -29,15 +31,17 @@ from pyspark.sql import functions as F
 
 from .arrowmap import map_slices
 from .encoders import byte_level
-from .ordering import id_bounds, order_key, shard_count, shard_of
+from .ordering import LEAST, id_bounds
 from .storage import as_text, new_path
 
-#: Documents that train the dictionary at most, ids taken of each at most, and bytes of the dictionary.
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 2000, 8192, 112_640
+#: The dictionary is trained on at most so many documents, cut into stretches of so many ids, of which at most so many are taken, those of least hashes; and its bytes.
+SAMPLE_DOCS, STRETCH, SAMPLE_STRETCHES, DICTIONARY_BYTES = 2000, 8192, 4000, 112_640
 LEVEL = 3
 _MAGIC = b"GTOK1"
 _HEAD = len(_MAGIC) + 1 + 32
-_MISSING = -(2**63)
+_INDEX_HEAD = 32 + 8
+#: Ids of an index that are read at once in a search.
+_BLOCK = 4096
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -61,7 +65,7 @@ def read_whole(path: str) -> bytes:
 
 
 def train_dictionary(documents: DataFrame, vocabulary: str, end_id: int, dtype: str) -> bytes:
-    """A dictionary from at most SAMPLE_DOCS documents, those of least hashed ids; b'' where they are too few to train one."""
+    """A dictionary from a sample of stretches of whole documents; b'' where they are too few to train one."""
     import zstandard
 
     docs = as_text(documents)
@@ -72,12 +76,14 @@ def train_dictionary(documents: DataFrame, vocabulary: str, end_id: int, dtype:
         code = byte_level(vocabulary)
 
         def work(part):
-            got = [np.append(np.frombuffer(x, "<u4")[:SAMPLE_IDS], end_id).astype(dtype).tobytes() for x in code.encode(part.column("text").to_pylist())]
-            return {"ids": got}
+            ids, bounds = code.encode_flat(part.column("text"), end_id)
+            own = [ids[i : min(i + STRETCH, b)] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) for i in range(a, b, STRETCH)]
+            return {"ids": [x.astype(dtype).tobytes() for x in own]}
 
         return work
 
-    samples = sorted(bytes(r["ids"]) for r in map_slices(picked, "text", make, "ids binary").limit(SAMPLE_DOCS).collect())
+    stretches = map_slices(picked, "text", make, "ids binary").orderBy(F.xxhash64("ids"), "ids").limit(SAMPLE_STRETCHES)
+    samples = sorted(bytes(r["ids"]) for r in stretches.collect())
     if len(samples) < 100:
         return b""
     try:
@@ -108,39 +114,38 @@ def write(documents: DataFrame, folder: str, vocabulary: str, end_id: int = 0, s
     fs, name = _fs(folder)
     fs.create_dir(name, recursive=True)
     write_whole(f"{folder}/dictionary.zstd", [trained])
-    end = np.array([end_id], "<u4").tobytes()
+    bounds = id_bounds(documents, shards)
 
     def make():
         code, press = byte_level(vocabulary), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(trained))
+        starts = np.array(bounds, np.int64)
 
         def work(part):
-            frames, counts = [], []
-            for ids in code.encode(part.column("text").to_pylist()):
-                whole = np.frombuffer(ids + end, "<u4")
-                counts.append(len(whole))
-                frames.append(press.compress(whole.astype(dtype).tobytes()))
-            return {"doc_id": part.column("doc_id"), "n": counts, "frame": frames}
+            ids, at = code.encode_flat(part.column("text"), end_id)
+            data, width, at = memoryview(ids.astype(dtype)).cast("B"), np.dtype(dtype).itemsize, at.tolist()
+            shard = np.searchsorted(starts, part.column("doc_id").fill_null(LEAST).to_numpy(zero_copy_only=False), "right") - 1
+            frames = [press.compress(data[width * a : width * b]) for a, b in zip(at, at[1:])]
+            return {"doc_id": part.column("doc_id"), "shard": pa.array(shard, pa.int32()), "n": np.diff(at), "frame": frames}
 
         return work
 
-    bounds = id_bounds(documents, shards or shard_count(documents))
     framed = (
-        map_slices(as_text(documents), "text", make, "doc_id long, n long, frame binary")
-        .withColumn("shard", shard_of(order_key(), bounds))
+        map_slices(as_text(documents.select(F.col("doc_id").cast("long"), "text")), "text", make, "doc_id long, shard int, n long, frame binary")
         .repartitionById(len(bounds), "shard")
         .sortWithinPartitions("doc_id", "frame")
     )
 
     def save(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, ids, ends, counts, at = None, [], [], [], 0
+        k, ids, ends, counts, at, nulls = None, [], [], [], 0, 0
 
         def frames() -> Iterator[bytes]:
-            nonlocal k, at
+            nonlocal k, at, nulls
             yield _MAGIC + bytes([np.dtype(dtype).itemsize]) + digest
             for b in batches:
                 if b.num_rows:
                     k = b.column("shard")[0].as_py()
-                    ids.append(b.column("doc_id").fill_null(_MISSING).to_numpy(zero_copy_only=False))
+                    nulls += b.column("doc_id").null_count
+                    ids.append(b.column("doc_id").fill_null(LEAST).to_numpy(zero_copy_only=False))
                     counts.append(b.column("n").to_numpy(zero_copy_only=False))
                     data = b.column("frame").to_pylist()
                     ends.append(at + np.cumsum([len(x) for x in data]))
@@ -155,7 +160,7 @@ def write(documents: DataFrame, folder: str, vocabulary: str, end_id: int = 0, s
             fs.delete_file(name)
             return
         n = np.concatenate(counts).astype("<u8")
-        index = [digest, np.concatenate(ids).astype("<i8").tobytes(), np.concatenate(ends).astype("<u8").tobytes(), n.tobytes()]
+        index = [digest, nulls.to_bytes(8, "little"), np.concatenate(ids).astype("<i8").tobytes(), np.concatenate(ends).astype("<u8").tobytes(), n.tobytes()]
         write_whole(f"{folder}/shard-{k:05d}.idx", index)
         fs.move(name, _fs(f"{folder}/shard-{k:05d}.tok")[1])
         yield pa.RecordBatch.from_pydict({"k": [k], "docs": [len(n)], "tokens": [int(n.sum())]}, pa.schema([("k", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]))
@@ -173,28 +178,59 @@ class Shard:
         import zstandard
 
         dictionary = read_whole(f"{folder}/dictionary.zstd") if dictionary is None else dictionary
-        index = read_whole(f"{folder}/shard-{k:05d}.idx")
-        n = (len(index) - 32) // 24
-        self.ids = np.frombuffer(index, "<i8", n, 32)
-        self.ends = np.frombuffer(index, "<u8", n, 32 + 8 * n)
-        self.counts = np.frombuffer(index, "<u8", n, 32 + 16 * n)
+        fs, name = _fs(f"{folder}/shard-{k:05d}.idx")
+        self.index = fs.open_input_file(name)
+        self.rows = (self.index.size() - _INDEX_HEAD) // 24
+        own = self.index.read_at(_INDEX_HEAD, 0)
+        #: Rows without an id, which come first.
+        self.nulls = int.from_bytes(own[32:], "little")
         fs, name = _fs(f"{folder}/shard-{k:05d}.tok")
         self.file = fs.open_input_file(name)
         head = self.file.read_at(_HEAD, 0)
-        if head[: len(_MAGIC)] != _MAGIC or head[len(_MAGIC) + 1 :] != hashlib.sha256(dictionary).digest() or index[:32] != head[len(_MAGIC) + 1 :]:
+        if head[: len(_MAGIC)] != _MAGIC or head[len(_MAGIC) + 1 :] != hashlib.sha256(dictionary).digest() or own[:32] != head[len(_MAGIC) + 1 :]:
             raise ValueError(f"shard {k} wasn't written with this dictionary")
         self.dtype = {2: "<u2", 4: "<u4"}[head[len(_MAGIC)]]
         self.press = zstandard.ZstdDecompressor(dict_data=_dict(dictionary))
 
-    def frame(self, i: int) -> np.ndarray:
-        start = int(self.ends[i - 1]) if i else 0
-        data = self.file.read_at(int(self.ends[i]) - start, _HEAD + start)
-        return np.frombuffer(self.press.decompress(data), self.dtype)
+    def _column(self, which: int, kind: str, first: int = 0, n: int | None = None) -> np.ndarray:
+        n = self.rows - first if n is None else n
+        return np.frombuffer(self.index.read_at(8 * n, _INDEX_HEAD + 8 * (which * self.rows + first)), kind)
+
+    def ids(self, first: int = 0, n: int | None = None) -> np.ndarray:
+        return self._column(0, "<i8", first, n)
+
+    def ends(self, first: int = 0, n: int | None = None) -> np.ndarray:
+        return self._column(1, "<u8", first, n)
+
+    def counts(self) -> np.ndarray:
+        return self._column(2, "<u8")
+
+    def frame(self, start: int, end: int) -> np.ndarray:
+        """The ids of the frame at these bytes."""
+        return np.frombuffer(self.press.decompress(self.file.read_at(end - start, _HEAD + start)), self.dtype)
+
+    def _first(self, doc_id: int, low: int) -> int:
+        """The first row from ``low`` on with this id or a greater one."""
+        high = self.rows
+        while high - low > _BLOCK:
+            mid = (low + high) // 2
+            if self.ids(mid, 1)[0] < doc_id:
+                low = mid + 1
+            else:
+                high = mid
+        return low + int(np.searchsorted(self.ids(low, high - low), doc_id))
 
     def document(self, doc_id: int | None) -> list[np.ndarray]:
-        """The id arrays of all rows of ``doc_id``."""
-        want = _MISSING if doc_id is None else doc_id
-        return [self.frame(i) for i in range(*np.searchsorted(self.ids, [want, want + 1]).tolist())]
+        """The id arrays of all rows of ``doc_id``; reads some ids of the index, then those rows."""
+        if doc_id is None:
+            first, stop = 0, self.nulls
+        else:
+            first = self._first(doc_id, self.nulls)
+            stop = self.rows if doc_id == 2**63 - 1 else self._first(doc_id + 1, first)
+        if first == stop:
+            return []
+        ends = np.concatenate([[0] if first == 0 else [], self.ends(max(0, first - 1), stop - max(0, first - 1))]).astype(np.int64).tolist()
+        return [self.frame(a, b) for a, b in zip(ends, ends[1:])]
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,13 +256,13 @@ def _read(spark: SparkSession, folder: str, with_ids: bool) -> DataFrame:
         for b in batches:
             for k, at in zip(b.column("k").to_pylist(), b.column("before").to_pylist(), strict=True):
                 shard = Shard(folder, k, dictionary)
-                starts = at + np.concatenate([[0], np.cumsum(shard.counts)[:-1]]).astype("<i8")
-                for i in range(0, len(shard.ids), 2000):
-                    part = range(i, min(i + 2000, len(shard.ids)))
-                    arrays = [shard.frame(j) for j in part]
-                    own = pa.array(shard.ids[part.start : part.stop], mask=shard.ids[part.start : part.stop] == _MISSING)
+                ids, n, ends = shard.ids(), shard.counts().astype(np.int64), np.concatenate([[0], shard.ends().astype(np.int64)]).tolist()
+                starts, null = at + np.cumsum(n) - n, np.arange(len(ids)) < shard.nulls
+                for i in range(0, len(ids), 2000):
+                    j = min(i + 2000, len(ids))
+                    arrays = [shard.frame(a, b) for a, b in zip(ends[i:j], ends[i + 1 : j + 1], strict=True)]
                     last = pa.array([a.astype("<i8") for a in arrays], pa.list_(pa.int64())) if with_ids else pa.array([zlib.crc32(a.astype("<u4").tobytes()) for a in arrays], pa.int64())
-                    yield pa.RecordBatch.from_arrays([own, pa.array(starts[part.start : part.stop]), pa.array([len(a) for a in arrays], pa.int64()), last], schema=kind)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], mask=null[i:j]), pa.array(starts[i:j]), pa.array([len(a) for a in arrays], pa.int64()), last], schema=kind)
 
     work = spark.createDataFrame(rows, "place int, k int, before long").repartitionById(max(1, len(rows)), "place")
     return work.mapInArrow(load, "doc_id long, start long, n_tokens long, " + ("ids array<long>" if with_ids else "ids_crc32 long"))
