@@ -180,8 +180,7 @@ def test_dropout_varies_by_place_and_document_at_its_rate():
     code, rng, key = pieces.PieceCoder(SP), np.random.default_rng(2), "considerations"
     want = {}
     for _ in range(4000):  # each candidate skipped by chance alone
-        skips = iter([*np.flatnonzero(rng.random(99) < 0.1).tolist(), -1])
-        ids = code._unit(key, [0, next(skips), lambda _, s=skips: next(s)])[0]
+        ids = code.segment(" " + key, np.flatnonzero(rng.random(99) < 0.1).tolist())[0]
         want[ids] = want.get(ids, 0) + 1
     one = code.encode(" ".join([key] * 4000))
     several = [code.encode(f"{key} {i}") for i in range(4000)]
@@ -194,6 +193,52 @@ def test_dropout_varies_by_place_and_document_at_its_rate():
     assert again.encode("other words first") and again.encode(" ".join([key] * 4000)) == one
 
 
+def _runs(code, text):
+    """Where no piece has two characters side by side; all that aren't ASCII count as one."""
+    kind = lambda c: " " if c == "▁" else c if c < "\x80" else "\x80"
+    met = {(kind(a), kind(b)) for p in code.score for a, b in zip(p, p[1:])}
+    own = " " + text
+    out = [own[0]]
+    for a, b in zip(own, own[1:]):
+        if tuple(c if c < "\x80" else "\x80" for c in (a, b)) in met:
+            out[-1] += b
+        else:
+            out.append(b)
+    return out
+
+
+def _agenda(code, run, skip):
+    """Ids of a run: of all neighbours that make a piece the best, leftmost first, unless it was skipped as it stands or is to be skipped now."""
+    parts, k, out = [("▁" if c == " " else "\0▁" if c == "▁" else c, False) for c in run], 0, b""
+    while True:
+        open_ = [(-code.score[a[0] + b[0]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if not a[1] and a[0] + b[0] in code.score]
+        if not open_:
+            break
+        i = min(open_)[1]
+        if k in skip:
+            parts[i] = (parts[i][0], True)  # not with what follows, until that changes
+        else:
+            parts[i : i + 2] = [(parts[i][0] + parts[i + 1][0], False)]
+            if i:
+                parts[i - 1] = (parts[i - 1][0], False)
+        k += 1
+    for p, _ in parts:
+        out += code.ids.get(p) or b"".join(code.byte_id[b] for b in p.lstrip("\0").encode())
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet="thein ,.\n▁é日", max_size=30), st.sampled_from(["international considerations", "the  end ", "a" * 90, "notwithstanding, it was"])), max_size=4))
+def test_dropout_against_a_plain_agenda(texts):
+    from itertools import takewhile
+
+    code = pieces.coder(SP, 0.25, 9, 50)
+    for text in texts:
+        runs = _runs(code, text) if text else []
+        want = b"".join(_agenda(code, r, set(takewhile(lambda k: k < 10_000, code.draws(int(p))))) for r, p in zip(runs, code.places(text, len(runs)), strict=True))
+        assert code.encode(text) == want
+
+
 def test_full_dropout_leaves_characters():
     ids = np.frombuffer(pieces.PieceCoder(SP, 1.0, 1).encode("ab"), "<u4")
     assert len(ids) == 3
