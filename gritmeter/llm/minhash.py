@@ -1,21 +1,24 @@
-"""Near-duplicates by a MinHash LSH forest and an exact search for what it missed, confirmed on full shingle sets.
+"""Near-duplicates by a MinHash LSH forest, with an exact search of its dense regions, confirmed on full shingle sets.
 
 Equal shingle sets are one class, found by a 128-bit digest, so copies never meet
 in pairs. Each class enters ``TREES`` orders; in an order it stands in the region of
 classes with which it shares the order's first ``DEPTH`` minima, sorted by the next
 minima, so those that follow one another have the longest common prefixes. A
-class is a candidate for the ``NEIGHBOURS`` that follow it: dense regions are thereby
-searched at a greater depth than sparse ones, without emitting a region's pairs. A
-candidate is dropped if its signatures agree in under half of the places (over five
-standard deviations below the bound), else its texts are compared by full sets.
-
-The forest may miss links, above all in dense regions; it only saves work. What it
-left in different components is searched exactly, by a prefix-filter join: in one order
-of all shingles, two sets at the bound share one among the first n - ceil(0.7 n) + 1 of
+class is a candidate for the ``NEIGHBOURS`` that follow it, so a region of up to
+NEIGHBOURS + 1 classes is compared whole; denser ones are searched at the depth that
+their neighbours share, and those of over REGION_ROWS classes are cut at a greater
+depth, again and again, until no region is larger. A candidate is dropped if its
+signatures agree in under LEAST_AGREEING places (over seven standard deviations
+below the bound), else its texts are compared by full sets.
+
+What the forest may have left in dense regions is searched exactly: classes of dense
+regions that hold several components are joined by prefix filter. In one order of all
+shingles, two sets at the bound share one among the first n - ceil(0.7 n) + 1 of
 each. Shingles that a sample shows to be frequent come last in that order, which decides
 the cost and not the result. Bounds on the sizes and on the number of first shingles
-shared thin the pairs out, and all that remain are compared by full sets, so no link of
-0.7 between two components is lost.
+shared thin the pairs out, and all that remain are compared by full sets. So of linked
+classes only those are lost that share no region in any order: at 0.7 with a
+probability of (1 - 0.7 ** DEPTH) ** TREES = 2e-9, and far less above.
 """
 
 from __future__ import annotations
@@ -35,10 +38,10 @@ TREES, DEPTH, NEIGHBOURS = 48, 3, 12
 HASHES = TREES * DEPTH
 #: Linked are documents with PERCENT * union <= 100 * intersection.
 PERCENT = 70
-#: Agreeing places of two signatures below which full sets aren't compared.
-LEAST_AGREEING = HASHES // 2
-#: Regions of more rows are cut by their next three minima before they are sorted.
-REGION_ROWS = 200_000
+#: Agreeing places of two signatures, of HASHES, below which full sets aren't compared.
+LEAST_AGREEING = 60
+#: Regions of more rows, by a sample of one class of REGION_SAMPLE, are cut at the next of DEPTHS before they are sorted.
+REGION_ROWS, REGION_SAMPLE, DEPTHS = 200_000, 64, (DEPTH, 5, 7, 9, 11)
 #: Ids that are broadcast at most to fetch texts.
 BROADCAST_IDS = 500_000
 #: One class of so many is sampled for frequent shingles: those of at least OFTEN sampled texts, MOST_FREQUENT of them at most.
@@ -93,62 +96,88 @@ def _profile(part: pa.RecordBatch) -> dict:
     return {"doc_id": part.column("doc_id"), "th": part.column("th"), "n": [len(s) for s in sets], "d1": pa.array(one), "d2": pa.array(two), "sig": sig}
 
 
-def _places(part: pa.RecordBatch) -> pa.RecordBatch:
-    """Per class and order: tree, key of the region, key of the region cut deeper, order in it, node, its size."""
+def _places(part: pa.RecordBatch, cut: list[dict[int, np.ndarray]]) -> pa.RecordBatch:
+    """Per class and order: tree, key of the region at DEPTH and of the deeper one it was cut into, order in it, node, its size. ``cut`` has, by step of DEPTHS and tree, ascending keys of the regions to be cut."""
     rows = part.num_rows
     sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(rows, HASHES)
     wide = sig.astype(np.uint64)
-    cols = [[(t * DEPTH + i) % HASHES for i in range(DEPTH + 8)] for t in range(TREES)]
-
-    def key(c: list[int]) -> np.ndarray:
-        h = np.zeros(rows, np.uint64)
-        for k in c:
-            h = mix(h + wide[:, k] + np.uint64(k))
-        return h.view(np.int64)
-
     # High bits of a minimum tell little, as it is small in a large set: bytes of the scrambled minima are equal where the minima are, and else by chance alone.
     byte = (mix(wide + np.uint64(1)) >> np.uint64(56)).astype(np.uint8)
-    near = [np.ascontiguousarray(byte[:, c[DEPTH:]]).view(">u8").astype(np.uint64)[:, 0] for c in cols]
+    bases, regions, places = [], [], []
+    for t in range(TREES):
+        cols = [(t * DEPTH + i) % HASHES for i in range(DEPTHS[-1])]
+        h = np.zeros(rows, np.uint64)
+        for k in cols[:DEPTH]:
+            h = mix(h + wide[:, k] + np.uint64(k))
+        bases.append(h.view(np.int64))
+        for step, (at, stop) in enumerate(zip(DEPTHS, DEPTHS[1:])):
+            dense = cut[step].get(t) if step < len(cut) else None
+            if dense is None:
+                break
+            deeper = h
+            for k in cols[at:stop]:
+                deeper = mix(deeper + wide[:, k] + np.uint64(k))
+            h = np.where(np.isin(h.view(np.int64), dense), deeper, h)
+        regions.append(h.view(np.int64))
+        places.append(np.ascontiguousarray(byte[:, cols[DEPTH:]]).view(">u8").astype(np.uint64)[:, 0])
     return pa.RecordBatch.from_pydict(
         {
             "tree": np.repeat(np.arange(TREES, dtype=np.int32), rows),
-            "region": np.concatenate([key(c[:DEPTH]) for c in cols]),
-            "deeper": np.concatenate([key(c[: DEPTH + 3]) for c in cols]),
-            "place": (np.concatenate(near) ^ np.uint64(1 << 63)).view(np.int64),
+            "base": np.concatenate(bases),
+            "region": np.concatenate(regions),
+            "place": (np.concatenate(places) ^ np.uint64(1 << 63)).view(np.int64),
             "node": np.tile(part.column("node").to_numpy(), TREES),
             "n": np.tile(part.column("n").to_numpy(), TREES),
         }
     )
 
 
+def _forest(classes: DataFrame, cut: list[dict[int, np.ndarray]]) -> DataFrame:
+    def spread(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 2000):
+                yield _places(b.slice(i, 2000), cut)
+
+    return classes.select("node", "n", "sig").mapInArrow(spread, "tree int, base long, region long, place long, node long, n long")
+
+
+def _cuts(classes: DataFrame) -> list[dict[int, np.ndarray]]:
+    """The regions of over REGION_ROWS classes at each step of DEPTHS; the driver holds one key for REGION_ROWS classes and order at most."""
+    cut: list[dict[int, np.ndarray]] = []
+    if classes.count() <= REGION_ROWS:
+        return cut
+    sample = classes.where(F.pmod(F.xxhash64("node"), F.lit(REGION_SAMPLE)) == 0)
+    while len(cut) < len(DEPTHS) - 1:
+        rows = _forest(sample, cut).groupBy("tree", "region").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") * REGION_SAMPLE > REGION_ROWS).select("tree", "region").collect()
+        if not rows:
+            break
+        found: dict[int, list[int]] = {}
+        for r in rows:
+            found.setdefault(r["tree"], []).append(r["region"])
+        cut.append({t: np.array(sorted(x), np.int64) for t, x in found.items()})
+    return cut
+
+
 def _overlap(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that follow one another in some order and whose set sizes allow a link."""
-
-    def spread(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                yield _places(b.slice(i, 2000))
-
-    forest = classes.select("node", "n", "sig").mapInArrow(spread, "tree int, region long, deeper long, place long, node long, n long")
-    dense = stash(forest.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > REGION_ROWS).select("tree", "region"), "dense")
-    if not dense.isEmpty():
-        forest = forest.join(dense.withColumn("dense", F.lit(True)), ["tree", "region"], "left").withColumn("region", F.when(F.col("dense"), F.col("deeper")).otherwise(F.col("region")))
-    w = Window.partitionBy("tree", "region").orderBy("place", "node")
-    following = F.array(*[F.struct(F.lead("node", k).over(w).alias("node"), F.lead("n", k).over(w).alias("n")) for k in range(1, NEIGHBOURS + 1)])
-    return (
-        forest.select("node", "n", following.alias("next"))
-        .where(F.col("next")[0]["node"].isNotNull())
-        .select("node", "n", F.explode("next").alias("o"))
-        .where(F.col("o.node").isNotNull() & (100 * F.least("n", "o.n") >= PERCENT * F.greatest("n", "o.n")))
-        .select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"))
-        .where("a < b")
-        .distinct()
-    )
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes that follow one another in some order and whose set sizes allow a link; and the rows (tree, base, node) of regions that weren't compared whole."""
+    forest = _forest(classes, _cuts(classes))
+    region = Window.partitionBy("tree", "region")
+    w = region.orderBy("place", "node")
+    following = [F.struct(F.lead("node", k).over(w).alias("node"), F.lead("n", k).over(w).alias("n")) for k in range(1, NEIGHBOURS + 1)]
+    # A region is compared whole if it has no more rows than a row and its neighbours, and is all that its three minima have.
+    dense = (F.count(F.lit(1)).over(region) > NEIGHBOURS + 1) | (F.col("base") != F.col("region"))
+    near = F.filter(F.array(*following), lambda o: o["node"].isNotNull() & (100 * F.least("n", o["n"]) >= PERCENT * F.greatest("n", o["n"])))
+    found = stash(
+        forest.select("tree", "base", "node", "n", dense.alias("dense"), near.alias("near")).where(F.col("dense") | (F.size("near") > 0))
+        .select("tree", "base", "node", "dense", F.transform("near", lambda o: o["node"]).alias("near")), "regions",
+    )
+    pairs = found.select("node", F.explode("near").alias("o")).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).where("a < b").distinct()
+    return pairs, found.where("dense").select("tree", "base", "node")
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -202,8 +231,15 @@ def frequent(members: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h.view(np.uint64)[order], k[order]
 
 
+def suspects(dense: DataFrame, found: DataFrame) -> DataFrame:
+    """Nodes of those ``dense`` regions (tree, base, node) that hold several components of ``found`` (node, component)."""
+    named = stash(dense.join(found, "node", "left").select("tree", "base", "node", F.coalesce("component", "node").alias("comp")), "dense")
+    mixed = stash(named.groupBy("tree", "base").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tree", "base"), "mixed")
+    return named.join(bounded_broadcast(mixed, mixed.count(), BROADCAST_IDS), ["tree", "base"], "left_semi").select("node").distinct()
+
+
 def missed(classes: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes in different components of ``found`` (node, component) that may be linked: all that are, by the prefix filter."""
+    """Pairs (a, b) of ``classes`` in different components of ``found`` (node, component) that may be linked: all that are, by the prefix filter."""
     comp = stash(classes.select("node", "th", "n").join(found, "node", "left").select("node", "th", F.coalesce("component", "node").alias("comp")), "comp")
     members = docs.join(bounded_broadcast(comp, comp.count(), BROADCAST_IDS), ["node", "th"]).select("node", "th", "comp", "text")
     shared = docs.sparkSession.sparkContext.broadcast(frequent(members))
@@ -276,14 +312,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         profiles.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "th", "sig")).alias("r")).select("d1", "d2", "n", F.col("r.doc_id").alias("node"), "r.th", "r.sig"),
         "classes",
     )
-    links = confirmed(likely(candidates(classes), classes), classes, docs)
+    pairs, dense = candidates(classes)
+    links = confirmed(likely(pairs, classes), classes, docs)
     # Classes that share an id, by its repeated rows, belong together.
     member = profiles.where("n > 0").join(classes.select("d1", "d2", "n", "node"), ["d1", "d2", "n"]).select("doc_id", "node")
     own = member.where("doc_id != node").select(F.col("doc_id").alias("b"), F.col("node").alias("a"))
     twice = own.select("b").union(member.where("doc_id = node").select(F.col("node").alias("b"))).groupBy("b").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("b")
     found = components(links.union(own.join(twice, "b", "left_semi").select("a", "b")))
-    more = stash(confirmed(missed(classes, docs, found), classes, docs), "more")
-    if not more.isEmpty():
+    open_ = stash(suspects(dense, found), "suspects")
+    more = None if open_.isEmpty() else stash(confirmed(missed(classes.join(open_, "node", "left_semi"), docs, found), classes, docs), "more")
+    if more is not None and not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     labelled = (
         profiles.select("doc_id", "n", "d1", "d2")

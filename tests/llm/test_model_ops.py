@@ -214,6 +214,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_dense_regions_are_cut_deeper(make, monkeypatch):
     monkeypatch.setattr(minhash, "REGION_ROWS", 3)
+    monkeypatch.setattr(minhash, "REGION_SAMPLE", 1)
     docs = [(i, " ".join(f"w{k}" for k in range(60)) + f" end{i}") for i in range(12)]
     assert {r["component_id"] for r in minhash.near_duplicates(make(docs)).collect()} == {0}
 
@@ -224,15 +225,15 @@ def test_long_classes_of_one_region_are_ordered_by_their_minima(spark):
     sig[:, : minhash.DEPTH] = 7
     sig[half:, minhash.DEPTH : minhash.DEPTH + 2] = sig[:half, minhash.DEPTH : minhash.DEPTH + 2]
     classes = spark.createDataFrame([(i, 4000, bytearray(x.tobytes())) for i, x in enumerate(sig)], "node long, n long, sig binary")
-    assert {(i, i + half) for i in range(half)} <= {(r["a"], r["b"]) for r in minhash.candidates(classes).collect()}
+    assert {(i, i + half) for i in range(half)} <= {(r["a"], r["b"]) for r in minhash.candidates(classes)[0].collect()}
 
 
-def _family(n):
-    """Texts of 100 words of which each has its own six or seven replaced, in runs of its own: many pairs stand near 0.7."""
+def _family(n, words=100):
+    """Texts of ``words`` words of which each has 4 to 12 of a hundred replaced, in a run of its own: many pairs stand near 0.7."""
     rng, docs = random.Random(3), []
     for i in range(n):
-        w = [f"w{k}" for k in range(100)]
-        for k in range(start := rng.randrange(60), start + rng.randrange(4, 13)):
+        w = [f"w{k}" for k in range(words)]
+        for k in range(start := rng.randrange(words * 3 // 5), start + rng.randrange(words // 25, words // 8 + 1)):
             w[k] = f"x{i}y{k}"
         docs.append((i * 7 % 1009, " ".join(w + [f"z{rng.randrange(3)}"] * 5)))
     return docs
@@ -241,13 +242,21 @@ def _family(n):
 @pytest.mark.parametrize("sample", [1, 16])
 def test_links_that_the_forest_misses_are_found(make, monkeypatch, sample):
     monkeypatch.setattr(minhash, "SAMPLE", sample)
-    monkeypatch.setattr(minhash, "candidates", lambda classes: classes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"))
+    none = lambda classes: classes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    monkeypatch.setattr(minhash, "candidates", lambda classes: (none(classes), classes.select(F.lit(0).alias("tree"), F.lit(0).alias("base"), "node")))
     docs = _family(60) + [(2000 + i, " ".join(f"v{i // 2}u{k + i % 2 * 3}" for k in range(30))) for i in range(40)] + [(3000, "short one"), (3001, "Short one"), (3002, None)]
     want = _brute_groups(docs)
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make(docs)).collect()} == want
     assert len(set(want.values())) > 3
 
 
+@pytest.mark.parametrize("neighbours", [1, 12])
+def test_long_texts_in_a_dense_region(make, monkeypatch, neighbours):
+    monkeypatch.setattr(minhash, "NEIGHBOURS", neighbours)
+    docs = _family(70, 1000)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make(docs)).collect()} == _brute_groups(docs)
+
+
 # -- personal data
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
