@@ -108,8 +108,7 @@ def analyze(s: Scan, strict_compat: bool = False) -> Analysis:
     clusters = cut(duplication.clusters(code))
     breakdown = cut(scanning.language_breakdown(files))
     large = parsing.complex_large_files(files, functions)
-    by_files = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("file_count"), "language"))
-    main = breakdown.withColumn("r", by_files).where("r = 1").select("repo_id", S.chars_per_token(F.col("language")).alias("main_chars_per_token"))
+    main = scanning.main_language(breakdown).select("repo_id", "main_chars_per_token")
     tokens = breakdown.groupBy("repo_id").agg(F.sum(F.ceil(F.col("total_bytes") / S.chars_per_token(F.col("language")))).alias("total_tokens"))
     count = lambda df, name: df.groupBy("repo_id").agg(F.count(F.lit(1)).alias(name))
     stats = graph.import_stats(imports, files).withColumn("largest_members", F.array_join(F.transform(F.slice("largest_members", 1, 5), lambda m: S.basename(m)), " -> "))

@@ -2,12 +2,13 @@
 
 Chunks are cut and normalised in Arrow batches (regular expressions over strings
 that the JVM's array functions take several times as long for); grouping,
-thresholds and similarity are DataFrame operations. A chunk travels as a 128-bit hash
-and its place; its text is fetched again for groups of several files only.
+thresholds and similarity are DataFrame operations. A chunk travels as the SHA-256 of
+its normal form and its place; texts are cut again for files of clusters only.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import lookups as L
+from ..plans.cut import cut
 
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _NAME = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
@@ -50,30 +52,32 @@ def chunks_of(content: str) -> Iterator[tuple[int, str, str]]:
             yield start + step, raw, plain
 
 
-def chunks(files: DataFrame) -> DataFrame:
-    """(repo_id, path, line, raw, normal) of every chunk that passes the thresholds."""
-    kind = "repo_id string, path string, line int, raw string, normal string"
+def chunks(files: DataFrame, raw: bool = False) -> DataFrame:
+    """(repo_id, path, line, cluster) of every chunk that passes the thresholds, with its ``raw`` text if asked for."""
+    kind = "repo_id string, path string, line int, cluster string" + ", raw string" * raw
+    schema = pa.schema([("repo_id", pa.string()), ("path", pa.string()), ("line", pa.int32()), ("cluster", pa.string())] + [("raw", pa.string())] * raw)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 got = list(chunks_of(r["content"]))
                 for i in range(0, len(got), 5000):
-                    line, raw, plain = zip(*got[i : i + 5000], strict=True)
+                    line, text, plain = zip(*got[i : i + 5000], strict=True)
                     n = len(line)
-                    yield pa.RecordBatch.from_arrays([pa.array([r["repo_id"]] * n, pa.string()), pa.array([r["path"]] * n, pa.string()), pa.array(line, pa.int32()), pa.array(raw, pa.string()), pa.array(plain, pa.string())], ["repo_id", "path", "line", "raw", "normal"])
+                    cols = [[r["repo_id"]] * n, [r["path"]] * n, line, [hashlib.sha256(x.encode()).hexdigest() for x in plain]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*cols, text] if raw else cols, schema, strict=True)], schema=schema)
 
     return files.select(F.col("repo_id").cast("string"), "path", "content").mapInArrow(run, kind)
 
 
 
-def clusters(files: DataFrame) -> DataFrame:
+def clusters(files: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
     """(repo_id, cluster, n_locations, n_files, first_path, first_line, line_count) of chunks in two files or more.
 
-    ``cluster`` is the SHA-256 of the normalised chunk. Counts are combined before the shuffle, so a
+    ``cluster`` is the SHA-256 of the normalised chunk; given ``keyed``, chunks aren't cut anew. Counts are combined before the shuffle, so a
     chunk that stands everywhere moves one row a partition.
     """
-    keyed = chunks(files).withColumn("cluster", F.sha2("normal", 256)).select("repo_id", "cluster", "path", "line")
+    keyed = chunks(files) if keyed is None else keyed
     by_file = keyed.groupBy("repo_id", "cluster", "path").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
     first = F.min(F.struct("path", "line"))
     return (
@@ -84,15 +88,19 @@ def clusters(files: DataFrame) -> DataFrame:
 
 def locations(files: DataFrame) -> DataFrame:
     """(repo_id, cluster, path, line) of every place of every cluster."""
-    keyed = chunks(files).withColumn("cluster", F.sha2("normal", 256)).select("repo_id", "cluster", "path", "line")
-    return keyed.join(clusters(files).select("repo_id", "cluster"), ["repo_id", "cluster"], "left_semi")
+    keyed = cut(chunks(files))
+    return keyed.join(clusters(files, keyed).select("repo_id", "cluster"), ["repo_id", "cluster"], "left_semi").select("repo_id", "cluster", "path", "line")
 
 
 def similarity(files: DataFrame) -> DataFrame:
     """(repo_id, cluster, similarity): least Jaccard of the word sets of a cluster's first chunk (by path and line) and any other."""
-    found = clusters(files)
+    keyed = cut(chunks(files))
+    found = cut(clusters(files, keyed))
+    named = found.select("repo_id", "cluster")
+    # Only files that have a place in a cluster are cut again, and only chunks of clusters become word sets.
+    again = files.join(keyed.join(named, ["repo_id", "cluster"], "left_semi").select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
     words = F.array_distinct(F.filter(F.split("raw", r"\s+"), lambda w: w != ""))
-    raw = chunks(files).withColumn("cluster", F.sha2("normal", 256)).withColumn("words", words).select("repo_id", "cluster", "path", "line", "words")
+    raw = cut(chunks(again, True).join(named, ["repo_id", "cluster"], "left_semi").select("repo_id", "cluster", "path", "line", words.alias("words")))
     first = raw.join(found.select("repo_id", "cluster", F.col("first_path").alias("path"), F.col("first_line").alias("line")), ["repo_id", "cluster", "path", "line"]).select("repo_id", "cluster", F.col("words").alias("w0"))
     share = F.when(F.size(F.array_union("w0", "words")) == 0, 1.0).otherwise(F.size(F.array_intersect("w0", "words")) / F.size(F.array_union("w0", "words")))
     return raw.join(first, ["repo_id", "cluster"]).groupBy("repo_id", "cluster").agg(F.min(share).alias("similarity"))

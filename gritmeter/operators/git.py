@@ -48,5 +48,6 @@ def hot_files(files: DataFrame, counts: DataFrame, top: int = 10) -> DataFrame:
 
 def hot_complex(hot: DataFrame, functions: DataFrame, over: int = 50) -> DataFrame:
     """(repo_id, hot_complex): hot files whose functions' complexities sum to more than ``over``."""
-    summed = functions.groupBy("repo_id", "path").agg(F.sum("complexity").alias("c")).where(F.col("c") > over)
+    own = functions.join(hot.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+    summed = own.groupBy("repo_id", "path").agg(F.sum("complexity").alias("c")).where(F.col("c") > over)
     return hot.join(summed, ["repo_id", "path"]).groupBy("repo_id").agg(F.count(F.lit(1)).alias("hot_complex"))

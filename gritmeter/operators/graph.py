@@ -90,14 +90,67 @@ def trimmed(graph: DataFrame, rounds: int = 2) -> DataFrame:
     return left
 
 
+def _spread(nodes: DataFrame, graph: DataFrame, come: str, go: str) -> DataFrame:
+    """(repo_id, node, colour) with each colour the least that reaches the node along edges from ``come`` to ``go``."""
+    step = graph.select("repo_id", F.col(come).alias("node"), F.col(go).alias("to"))
+    before = None
+    while True:
+        sent = nodes.join(step, ["repo_id", "node"]).select("repo_id", F.col("to").alias("node"), "colour")
+        nodes = cut(nodes.unionByName(sent).groupBy("repo_id", "node").agg(F.min("colour").alias("colour")))
+        now = nodes.agg(F.sum(F.xxhash64("repo_id", "node", "colour").cast("decimal(38,0)"))).first()
+        if now == before:
+            return nodes
+        before = now
+
+
+def coloured(graph: DataFrame) -> DataFrame:
+    """(repo_id, members, size) of components, without any task that sees a whole graph.
+
+    Every node takes the least name that reaches it; those that reach that node
+    again inside their colour are its component. They are taken out, and the rest
+    is coloured anew until no edges are left.
+    """
+    found, left = None, cut(graph)
+    while not left.isEmpty():
+        nodes = left.select("repo_id", F.col("src").alias("node")).union(left.select("repo_id", "dst")).distinct()
+        colours = _spread(nodes.withColumn("colour", F.col("node")), left, "src", "dst")
+        a, b = (colours.select("repo_id", F.col("node").alias(x), F.col("colour").alias(f"{x}_colour")) for x in ("src", "dst"))
+        inside = cut(left.join(a, ["repo_id", "src"]).join(b, ["repo_id", "dst"]).where("src_colour = dst_colour").select("repo_id", "src", "dst", F.col("src_colour").alias("colour")))
+        # Back from each colour's own node; a node's colour is told apart by the names reached, as edges stay inside.
+        back = colours.withColumn("reached", F.col("node") == F.col("colour"))
+        step = inside.select("repo_id", F.col("dst").alias("node"), F.col("src").alias("to"))
+        got, size = cut(back.where("reached").select("repo_id", "node", "colour")), -1
+        while (n := got.count()) != size:
+            size = n
+            got = cut(got.unionByName(got.join(step, ["repo_id", "node"]).select("repo_id", F.col("to").alias("node"), "colour")).distinct())
+        parts = cut(got.groupBy("repo_id", "colour").agg(F.array_sort(F.collect_list("node")).alias("members")).select("repo_id", "members", F.size("members").alias("size")).where("size > 1"))
+        found = parts if found is None else found.unionByName(parts)
+        gone = got.select("repo_id", "node")
+        for side in ("src", "dst"):
+            left = left.join(gone.withColumnRenamed("node", side), ["repo_id", side], "left_anti")
+        left = cut(left)
+    return graph.select("repo_id", F.array("src").alias("members"), F.lit(1).alias("size")).where("false") if found is None else found
+
+
+#: Edges of a repository, of those that may lie on a cycle, up to which one task searches it.
+LOCAL_EDGES = 1_000_000
+
+
 def cycles(graph: DataFrame) -> DataFrame:
-    """(repo_id, members, size) of the strongly connected components of more than one node of (repo_id, src, dst)."""
+    """(repo_id, members, size) of the strongly connected components of more than one node of (repo_id, src, dst); repositories of up to LOCAL_EDGES edges are searched by one task each, larger ones by colours."""
+    open_ = trimmed(graph)
+    large = cut(open_.groupBy("repo_id").agg(F.count(F.lit(1)).alias("edges")).where(F.col("edges") > LOCAL_EDGES).select("repo_id"))
+    if large.isEmpty():
+        return _local_cycles(open_)
+    return _local_cycles(open_.join(large, "repo_id", "left_anti")).unionByName(coloured(open_.join(large, "repo_id", "left_semi")))
+
 
+def _local_cycles(graph: DataFrame) -> DataFrame:
     def find(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = list(strong_components(list(zip(rows["src"], rows["dst"], strict=True))))
         return pd.DataFrame({"repo_id": [key[0]] * len(found), "members": found, "size": [len(m) for m in found]})
 
-    return trimmed(graph).groupBy("repo_id").applyInPandas(find, "repo_id string, members array<string>, size int")
+    return graph.groupBy("repo_id").applyInPandas(find, "repo_id string, members array<string>, size int")
 
 
 def cycle_stats(found: DataFrame) -> DataFrame:

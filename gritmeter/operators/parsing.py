@@ -10,9 +10,10 @@ impl block, C names unknown).
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +40,53 @@ _BLANK = {
 }
 
 
+_JS_TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[`{}/]|[\w$]+|\s+|.", re.S)
+_JS_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+_JS_TEMPLATE = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*(?:`|\$\{|\Z)", re.S)
+#: After these a slash starts a regular expression.
+_BEFORE_REGEX = frozenset("return typeof case in of delete void throw new instanceof do else yield await".split())
+
+
+def _spaces(text: str) -> str:
+    return re.sub(r"[^\n]", " ", text)
+
+
+def _blank_js(text: str) -> str:
+    """As ``blank``; regular expressions are told from divisions by what precedes them, and code inside template strings stays."""
+    out, at, last, braces = [], 0, "", []
+    while m := _JS_TOKEN.match(text, at):
+        x = m.group()
+        at = m.end()
+        if x == "`" or (x == "}" and braces and braces[-1] == "`"):
+            if x == "}":
+                braces.pop()
+            rest = _JS_TEMPLATE.match(text, at)
+            out.append(_spaces(text[m.start() : rest.end()]))
+            at, last = rest.end(), ")"
+            if rest.group().endswith("${"):
+                braces.append("`")
+                last = "("
+            continue
+        if x == "/" and (last in _BEFORE_REGEX or not last or last[-1] in "(,=:[!&|?{};+-*%~^<>") and (r := _JS_REGEX.match(text, m.start())):
+            out.append(_spaces(r.group()))
+            at, last = r.end(), ")"
+            continue
+        if x == "{":
+            braces.append("{")
+        elif x == "}" and braces:
+            braces.pop()
+        if x[:2] in ("//", "/*") or x[0] in "\"'" and len(x) > 1:
+            out.append(_spaces(x))
+            last = last if x[0] == "/" else ")"
+        else:
+            out.append(x)
+            last = last if x.isspace() else x
+    return "".join(out)
+
+
 def blank(language: str, text: str) -> str:
     """The text with comments, and what stands between quotes, as spaces; lines and places stay."""
-    return _BLANK.get(language, _BLANK[""]).sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    return _blank_js(text) if language in _JS else _BLANK.get(language, _BLANK[""]).sub(lambda m: _spaces(m.group()), text)
 
 
 class _Lines:
@@ -52,7 +97,8 @@ class _Lines:
         return bisect_right(self.starts, place)
 
 
-_PY_BRANCH = re.compile(r"^[ \t]*(?:async[ \t]+)?(?:if|elif|for|while|with|except)\b|\b(?:and|or)\b|(?<=\S)[ \t]+if\b(?=[^\n]*\belse\b)", re.M)
+#: Statements by their line, and every ``else`` that no colon follows, as each conditional expression has one.
+_PY_BRANCH = re.compile(r"^[ \t]*(?:async[ \t]+)?(?:if|elif|for|while|with|except(?![ \t]*\*))\b|\b(?:and|or)\b|\belse\b(?![ \t]*:)", re.M)
 _PY_NEST = re.compile(r"^([ \t]*)(?:async[ \t]+)?(?:if|for|while|with|try)\b", re.M)
 
 
@@ -87,8 +133,20 @@ def _python_functions(text: str, clean: str, strict: bool) -> Iterator[Function]
         yield (m.group(1), i + 1, end - i + 1, *_python_measures("\n".join(lines[i : end + 1])))
 
 
+def _logical(body: str) -> str:
+    """``body`` with the line ends inside brackets, and escaped ones, as spaces."""
+    depth, out = 0, []
+    for x in re.split(r"([(\[{)\]}\n])", body.replace("\\\n", "  ")):
+        if x in ("(", "[", "{"):
+            depth += 1
+        elif x in (")", "]", "}"):
+            depth = max(0, depth - 1)
+        out.append(" " if x == "\n" and depth else x)
+    return "".join(out)
+
+
 def _python_measures(body: str) -> tuple[int, int]:
-    most, open_ = 0, []
+    most, open_, body = 0, [], _logical(body)
     for line in body.split("\n"):
         if line.strip():
             at = _indent(line)
@@ -105,7 +163,8 @@ def _python_measures(body: str) -> tuple[int, int]:
 _RB_BRANCH = re.compile(r"\b(?:if|elsif|unless|while|for|case|when|rescue)\b")
 
 
-def _ruby_functions(clean: str) -> Iterator[Function]:
+def _ruby_functions(clean: str, strict: bool) -> Iterator[Function]:
+    twice = 1 + strict  # a tree's keyword tokens have the names of the statements they start
     lines = clean.split("\n")
     for i, line in enumerate(lines):
         if m := re.match(r"([ \t]*)def\s+(?:self\.)?([\w?!=]+)", line):
@@ -119,7 +178,7 @@ def _ruby_functions(clean: str) -> Iterator[Function]:
                     if re.match(r"\s*(?:if|unless|while|for|case|begin)\b", x):
                         open_.append(_indent(x))
                         most = max(most, len(open_))
-            yield (m.group(2), i + 1, end - i + 1, 1 + len(_RB_BRANCH.findall("\n".join(body))), most)
+            yield (m.group(2), i + 1, end - i + 1, 1 + twice * len(_RB_BRANCH.findall("\n".join(body))), most + (strict and most > 0))
 
 
 _NOT_NAMES = frozenset("if for while switch catch return else do try function with synchronized new throw sizeof match await typeof case elseif foreach".split())
@@ -155,69 +214,146 @@ def _family(language: str) -> str:
     return "JS" if language in _JS else "C" if language in ("C", "C++") else language
 
 
-def _matching(text: str, start: int) -> int:
-    """Place of the brace that closes the one at ``start``, or the text's end."""
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(text, start):
-        depth += 1 if m.group() == "{" else -1
-        if depth == 0:
-            return m.start()
-    return len(text) - 1
-
-
-def _brace_nesting(body: str, kinds: re.Pattern) -> int:
-    """Deepest chain of blocks that a nesting keyword opens; ``else if`` chains count as nested, as their trees are."""
-    depth = most = 0
-    stack: list[int] = []
-    pending = 0
-    for m in re.finditer(r"[{};]|\b\w+\b", body):
-        x = m.group()
-        if x == "{":
-            stack.append(pending)
-            depth += pending
-            most = max(most, depth)
-            pending = 0
-        elif x == "}":
-            if stack:
-                depth -= stack.pop()
-        elif x == ";":
-            pending = 0
-        elif kinds.fullmatch(x):
-            pending = 1
-            most = max(most, depth + 1)
-    return most
+class _Braces:
+    """One pass over a blanked text: matching braces, ends of expressions, branches and nesting, each asked for by range."""
+
+    def __init__(self, kind: str, text: str):
+        self.text, self.lines = text, _Lines(text)
+        branches = [m.start() for m in _BRANCH[kind].finditer(text)]
+        if kind == "JS":
+            branches += [m.start() for m in _OPERATORS.finditer(text)]
+        self.branches = sorted(branches)
+        self._pair()
+        self._nest(_NEST[kind])
+
+    def _pair(self) -> None:
+        """Closing brace of each opening one, and for each depth of brackets the places where an expression may end."""
+        self.closing: dict[int, int] = {}
+        self.ends: dict[int, list[int]] = {}
+        self.places, self.depths = [-1], [0]
+        braces, depth = [], 0
+        for m in re.finditer(r"[()\[\]{},;\n]", self.text):
+            x, at = m.group(), m.start()
+            if x in "([{":
+                depth += 1
+                if x == "{":
+                    braces.append(at)
+            else:
+                self.ends.setdefault(depth, []).append(at)
+                if x in ")]}":
+                    depth -= 1
+                    if x == "}" and braces:
+                        self.closing[braces.pop()] = at
+            self.places.append(at)
+            self.depths.append(depth)
+
+    def close(self, brace: int) -> int:
+        return self.closing.get(brace, len(self.text) - 1)
+
+    def expression_end(self, start: int) -> int:
+        """The last place of the expression at ``start``: it ends with its statement, line or argument."""
+        ends = self.ends.get(self.depths[bisect_left(self.places, start) - 1], [])
+        i = bisect_left(ends, start)
+        return (ends[i] if i < len(ends) else len(self.text)) - 1
+
+    def _nest(self, kinds: re.Pattern) -> None:
+        """Depths of blocks that nesting keywords open, by place; an ``else if`` nests in its ``if``, as its tree does."""
+        self.at, level = [], []
+        depth = pending = parens = closed = 0
+        stack: list[tuple[int, int, int]] = []
+        inner: list[int] = []  # parentheses in which each pending keyword stands
+        for m in re.finditer(r"[{}();]|\b\w+\b", self.text):
+            x = m.group()
+            if x == "(":
+                parens += 1
+            elif x == ")":
+                parens = max(0, parens - 1)
+                closed = 0
+            elif x == "{":
+                own = pending if pending and inner and inner[-1] == parens else 0
+                stack.append((own, 0 if own else pending, parens))
+                depth += own
+                pending, parens, closed = 0, 0, 0
+                inner.append(-1)
+            elif x == "}":
+                if stack:
+                    inner.pop()
+                    own, pending, parens = stack.pop()
+                    depth -= own
+                    closed = own
+                    if own and inner:
+                        inner.pop()
+                    continue
+            elif x == ";":
+                if pending and inner and inner[-1] == parens:
+                    pending = 0
+                    inner.pop()
+                closed = 0
+            elif x in ("else", "elif", "elseif", "catch", "finally", "except"):
+                if closed and not pending:
+                    pending = closed
+                    inner.append(parens)
+                closed = 0
+            elif kinds.fullmatch(x):
+                if pending and inner and inner[-1] == parens:
+                    pending += 1
+                else:
+                    pending = 1
+                    inner.append(parens)
+                self.at.append(m.start())
+                level.append(depth + pending)
+                closed = 0
+            else:
+                closed = 0
+            if x in "{":
+                self.at.append(m.start())
+                level.append(depth)
+        self.level = [np.array(level, np.int64)]
+        while len(self.level[-1]) > 2 ** (len(self.level) - 1):
+            half, last = 2 ** (len(self.level) - 1), self.level[-1]
+            self.level.append(np.maximum(last[:-half], last[half:]))
+
+    def nesting(self, first: int, end: int) -> int:
+        """Deepest chain of blocks between two places, above what the first stands in."""
+        a, b = bisect_left(self.at, first), bisect_right(self.at, end)
+        if a >= b:
+            return 0
+        base = self.level[0][a - 1] if a and self.text[self.at[a - 1]] == "{" and self.at[a - 1] == first - 1 else self._before(a)
+        k = (b - a).bit_length() - 1
+        return max(0, int(max(self.level[k][a], self.level[k][b - 2**k])) - int(base))
+
+    def _before(self, a: int) -> int:
+        """Depth in which the token with index ``a`` stands."""
+        return int(self.level[0][a]) - (self.text[self.at[a]] != "{")
+
+    def count(self, first: int, end: int) -> int:
+        return bisect_right(self.branches, end) - bisect_left(self.branches, first)
 
 
 def _brace_functions(language: str, clean: str, strict: bool) -> Iterator[Function]:
     kind = _family(language)
-    lines = _Lines(clean)
     heads = [(m, False) for m in _HEAD[kind].finditer(clean)]
     if kind == "Rust" and strict:
         heads += [(m, True) for m in _HEAD["RustImpl"].finditer(clean)]
+    if not heads:
+        return
+    code = _Braces(kind, clean)
     for m, impl in sorted(heads, key=lambda x: x[0].start()):
         groups = m.groupdict()
         name = ANONYMOUS if impl else groups.get("a") or groups.get("b") or groups.get("c") or ANONYMOUS
         if name in _NOT_NAMES:
             continue
-        if kind in ("Java", "C") and re.search(r"(?:\bnew|\.|=)\s*$", clean[: m.start()][-8:]):
+        if kind in ("Java", "C") and re.search(r"(?:\bnew|\.|=)\s*$", clean[max(0, m.start() - 8) : m.start()]):
             continue
-        if clean[m.end() - 1] == "{":
-            end = _matching(clean, m.end() - 1)
-        else:  # an arrow function of one expression ends with its statement or argument
-            end, depth = m.end(), 0
-            while end < len(clean) and not (depth == 0 and clean[end] in ",;)\n]}"):
-                depth += clean[end] in "([{"
-                depth -= clean[end] in ")]}"
-                end += 1
-            end = max(m.start(), end - 1)
-        body = clean[m.end() : end + 1]
-        first, last = lines.at(m.start()), lines.at(end)
-        count = 1 + len(_BRANCH[kind].findall(body)) + (len(_OPERATORS.findall(body)) if kind == "JS" else 0)
-        yield (ANONYMOUS if strict and kind == "C" else name, first, last - first + 1, count, _brace_nesting(body, _NEST[kind]))
+        braced = clean[m.end() - 1] == "{"
+        end = code.close(m.end() - 1) if braced else max(m.start(), code.expression_end(m.end()))
+        first, last = code.lines.at(m.start()), code.lines.at(end)
+        yield (ANONYMOUS if strict and kind == "C" else name, first, last - first + 1, 1 + code.count(m.end(), end), code.nesting(m.end(), end))
+        if strict and kind == "JS" and clean.startswith("function", m.start()):
+            yield (ANONYMOUS, first, 1, 1, 0)  # a tree's keyword token has a function's name
 
 
 _PLACE = {
-    "JS": re.compile(r"^[ \t]*import\b[^;'\"]*?['\"]([^'\"\n]+)['\"]", re.M),
     "Rust": re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", re.M),
     "Java": re.compile(r"^[ \t]*import\s+(?:static\s+)?([\w.]+)(?:\.\*)?\s*;", re.M),
     "C": re.compile(r"^[ \t]*#[ \t]*include[ \t]*[<\"]([^>\"\n]+)[>\"]", re.M),
@@ -226,20 +362,32 @@ _PLACE = {
 }
 
 
+_GO_COMMENT = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|`[^`]*`", re.S)
+_JS_SOURCE = re.compile(r"(?:[^;'\"=]*?\bfrom)?\s*['\"]([^'\"\n]+)['\"]")
+
+
 def imports_of(language: str, text: str) -> list[tuple[str, int]]:
     """(module path, line) of the import statements of a text; empty paths are left out."""
     kind, lines, found = _family(language), _Lines(text), []
     if kind == "Python":
-        for m in re.finditer(r"^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+import\b|import[ \t]+([.\w]+))", text, re.M):
-            found.append((m.group(1) or m.group(2), lines.at(m.start())))
+        # Of several modules the first without another name is taken; __future__ is no module.
+        for m in re.finditer(r"(?:^|[;:])[ \t]*(?:from[ \t]+([.\w]+)[ \t]+import\b|import[ \t]+([^\n;]+))", blank(language, text).replace("\\\n", "  "), re.M):
+            names = [m.group(1)] if m.group(1) else [x.strip() for x in m.group(2).split(",")]
+            path = next((x for x in names if re.fullmatch(r"[.\w]+", x) and x != "__future__"), "")
+            found.append((path, lines.at(m.start(1) if m.group(1) else m.start(2))))
+    elif kind == "JS":
+        for m in re.finditer(r"(?:^|;)[ \t]*import\b(?!\s*[(.=])", blank(language, text), re.M):
+            if x := _JS_SOURCE.match(text, m.end()):
+                found.append((x.group(1), lines.at(m.end())))
     elif kind == "Go":
-        for m in re.finditer(r"^[ \t]*import\s*(?:\(([^)]*)\)|(?:[\w.]+\s+)?\"([^\"\n]+)\")", text, re.M):
+        clean = _GO_COMMENT.sub(lambda m: m.group() if m.group()[0] in "\"`" else _spaces(m.group()), text)
+        for m in re.finditer(r"^[ \t]*import\s*(?:\(([^)]*)\)|(?:[\w.]+\s+)?\"([^\"\n]+)\")", clean, re.M):
             if m.group(2):
                 found.append((m.group(2), lines.at(m.start())))
             else:
                 found += [(x.group(1), lines.at(m.start(1) + x.start(1))) for x in re.finditer(r"\"([^\"\n]+)\"", m.group(1))]
     elif kind in _PLACE:
-        clean = blank(language, text) if kind in ("Rust", "PHP") else text
+        clean = text if kind in ("C", "Ruby") else blank(language, text)
         for m in _PLACE[kind].finditer(clean):
             found.append((" ".join(m.group(1).split()), lines.at(m.start())))
     return [(x.strip(), n) for x, n in found if x.strip()]
@@ -251,7 +399,7 @@ def functions_of(language: str, text: str, strict: bool = False) -> list[Functio
     if language == "Python":
         return list(_python_functions(text, clean, strict))
     if language == "Ruby":
-        return list(_ruby_functions(clean))
+        return list(_ruby_functions(clean, strict))
     return list(_brace_functions(language, clean, strict)) if language in L.PARSED else []
 
 

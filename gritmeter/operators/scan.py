@@ -115,6 +115,12 @@ def build_seconds(breakdown: DataFrame) -> DataFrame:
     return lines.join(main, "repo_id").select("repo_id", "dominant_language", (F.col("lines") / 1000 * S.build_factor(F.col("dominant_language"))).alias("build_seconds"))
 
 
+def main_language(breakdown: DataFrame) -> DataFrame:
+    """(repo_id, main_language, main_chars_per_token): the language of most files; ties go to the name first in order."""
+    first = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("file_count"), "language"))
+    return breakdown.withColumn("r", first).where("r = 1").select("repo_id", F.col("language").alias("main_language"), S.chars_per_token(F.col("language")).alias("main_chars_per_token"))
+
+
 def directory_stats(directories: DataFrame) -> DataFrame:
     """(repo_id, max_depth, top_level_dirs) of directories (repo_id, path relative to the root, '' for it).
 

@@ -1,22 +1,24 @@
-"""Lineage cuts for relations that many others are built from."""
+"""Lineage cuts for relations that many others are built from, and the folder they stand in."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint: computed once, read from the folder all executors share, and short to plan with.
-
-    The folder is the session's checkpoint folder. Where none is set a local
-    master gets a private one; on a cluster the rows are cached instead.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's checkpoint folder, or, where a local master has none, a private one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
-            return df.persist()
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gritmeter-cut-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint: computed once, read from the folder all executors share, and short to plan with."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .score import DEFAULTS
 
@@ -66,6 +67,68 @@ SCORES: list[dict] = [
 ]
 
 
+#: Texts whose parts a plain search takes for code, or misses.
+TRICKY = [
+    ("r3", "t/loop.c", "int walk(int n) {\n  for (int i = 0; i < n; i++) {\n    if (i) {\n      n--;\n    }\n  }\n  return n;\n}\n"),
+    ("r3", "t/doc.py", "\"\"\"\nimport os first\n\"\"\"\nimport json; import re\nimport numpy as np\nfrom . import near\nfrom __future__ import annotations\n\ndef pick(y, z, w):\n    return [x for x in y if x] if z else w\n"),
+    ("r3", "t/note.js", "// import a from 'none'\n/* import b from 'none' */\nimport c from 'real'; import {\n  d } from 'other'\nimport('late');\nfunction sign(x) { return /[{]/.test(x); }\nfunction join(x, y) { return `${x && y} }`; }\n"),
+    ("r3", "t/Chain.java", "class Chain {\n  int go(int a) {\n    if (a == 1) { return 1; }\n    else if (a == 2) { return 2; }\n    else { while (a > 3) { a--; } }\n    return a;\n  }\n}\n"),
+    ("r3", "t/call.ts", "function outer(a: number[]) {\n  if (a.some(function (x) { if (x) { return true; } return false; })) {\n    for (;;) {}\n  }\n}\n"),
+]
+
+#: By path, what the tree's node kinds give: (name, start_line, line_count, complexity, nesting), (module_path, line), (kind, line).
+FUNCTIONS = {
+    "src/engine.py": [("getData", 8, 7, 2, 1)], "src/helpers.py": [("calculate_total", 3, 6, 3, 2), ("get_instance", 14, 2, 1, 0)], "tests/test_engine.py": [("test_it", 4, 2, 1, 0)],
+    "web/app.js": [("loadAll", 3, 5, 3, 1), ("<anonymous>", 8, 1, 1, 0)], "web/server.js": [("<anonymous>", 2, 1, 1, 0), ("getInstance", 3, 1, 1, 0)], "lib/core.rs": [("narrow_path", 5, 6, 3, 1)],
+    "lib/run.go": [("Run", 8, 6, 2, 1)], "lib/Main.java": [("weigh", 4, 4, 2, 1)], "lib/tool.c": [("main", 3, 4, 2, 1)], "lib/job.rb": [("perform", 3, 5, 2, 1)], "lib/page.php": [("show", 3, 1, 3, 2)],
+    "lib/form.tsx": [("<anonymous>", 2, 1, 2, 0)], "t/loop.c": [("walk", 1, 8, 3, 2)], "t/doc.py": [("pick", 9, 2, 2, 0)], "t/note.js": [("sign", 6, 1, 1, 0), ("join", 7, 1, 2, 0)],
+    "t/Chain.java": [("go", 2, 6, 4, 3)], "t/call.ts": [("outer", 1, 5, 4, 2), ("<anonymous>", 2, 1, 2, 1)],
+}
+IMPORTS = {
+    "src/engine.py": [("os", 1), ("helpers", 2)], "src/helpers.py": [("os", 1)], "tests/test_engine.py": [("engine", 1)], "web/app.js": [("./engine", 1)], "lib/core.rs": [("std::fmt", 1)],
+    "lib/run.go": [("fmt", 4), ("os", 5)], "lib/Main.java": [("java.util.List", 1)], "lib/tool.c": [("stdio.h", 1)], "lib/job.rb": [("require 'json'", 1)], "lib/page.php": [("App\\Model", 2)],
+    "lib/form.tsx": [("react", 1)], "t/doc.py": [("json", 4), ("re", 4), (".", 6)], "t/note.js": [("real", 3), ("other", 3)],
+}
+HAZARDS = {
+    "src/helpers.py": [("SingletonPattern", 10), ("MutableClassVariable", 12), ("ModuleLevelCall", 17)], "web/app.js": [("GlobalEventListener", 8)], "web/server.js": [("ModuleLevelCall", 2), ("SingletonPattern", 3)],
+}
+#: Names of the last parts of paths that stand for the kinds of events.
+EVENT_FILES = ["package-lock.json", "package.json", "yarn.lock", "src/x.py", "go.mod"]
+
+_RANGES = {
+    "total_files": 1200, "total_lines": 400_000, "total_bytes": 9_000_000, "max_file_lines": 5000, "avg_file_lines": 500, "test_files": 300, "large_files": 60, "max_depth": 14, "top_level_dirs": 14, "readme_bytes": 90_000,
+    "active_files": 1100, "active_lines": 90_000, "active_bytes": 3_000_000, "frozen_files": 300, "max_function_lines": 450, "max_nesting": 12, "hot_complex": 8, "functions": 3000, "hazards": 20, "cycle_count": 9, "largest_cycle": 7,
+    "god_modules": 3, "layer_violations": 4, "complex_large": 9,
+}
+
+
+def score_expressions() -> dict[str, str]:
+    """A wide row of made-up figures for each customer, as SQL that both engines read; none falls on a tie of rounding."""
+    out = {}
+    for i, (name, value) in enumerate(DEFAULTS.items()):
+        k = f"(CAST(c_custkey AS BIGINT) * {2 * i + 37})"
+        if isinstance(value, bool):
+            e = f"{k} % 3 = 0"
+        elif name in ("source_files", "total_files"):
+            e = f"2 * ({k} % {450 if name == 'source_files' else 600}) + 1"
+        elif name == "total_tokens":
+            e = f"2 * ({k} % 700001) + 1"
+        elif isinstance(value, int):
+            e = f"{k} % {_RANGES.get(name, 40)}"
+        elif name == "main_chars_per_token":
+            e = "CAST(3.5 AS DOUBLE)"
+        elif name == "dominant_ratio":
+            e = f"CAST({k} % 101 AS DOUBLE) / CAST(100 AS DOUBLE)"
+        elif name == "build_seconds":
+            e = f"CAST({k} % 199 AS DOUBLE) + CAST(0.3 AS DOUBLE)"
+        elif isinstance(value, float):
+            e = f"CAST({k} % 250 AS DOUBLE) / CAST(10 AS DOUBLE)"
+        else:
+            e = f"CASE WHEN {k} % 4 = 0 THEN '' ELSE concat('src/m', CAST({k} % 9 AS VARCHAR(9)), '.py') END"
+        out[name] = e
+    return out
+
+
 def _literal(v: object) -> str:
     return "NULL" if v is None else str(v) if isinstance(v, (bool, int, float)) else "'" + str(v).replace("'", "''") + "'"
 
@@ -80,14 +143,35 @@ def score_rows() -> list[tuple]:
     return [tuple([s["repo_id"], *[s.get(k, v) for k, v in DEFAULTS.items()]]) for s in SCORES]
 
 
+def numbered(name: str, columns: str, rows: list) -> str:
+    """A common table expression with these rows and their number k."""
+    return values(name, "k, " + columns, [(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)])
+
+
 def score_values() -> str:
-    return values("w", ", ".join(["repo_id", *DEFAULTS]), score_rows())
+    own = ", ".join(f"{e} AS {c}" for c, e in score_expressions().items())
+    return values("w0", ", ".join(["repo_id", *DEFAULTS]), score_rows()) + f", w AS (SELECT * FROM w0 UNION ALL SELECT concat('customer', CAST(c_custkey AS VARCHAR)) AS repo_id, {own} FROM customer)"
 
 
 def table(spark: SparkSession, schema: str, rows: list) -> DataFrame:
     return spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], schema)
 
 
-def score_table(spark: SparkSession) -> DataFrame:
+def by_document(spark: SparkSession, documents: DataFrame, schema: str, rows: list) -> DataFrame:
+    """``documents``, each with one of the ``rows`` in turn."""
+    full = [(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)]
+    return documents.withColumn("k", (F.col("doc_id") % len(rows)).cast("int")).join(F.broadcast(spark.createDataFrame(full, "k int, " + schema)), "k")
+
+
+def by_nation(spark: SparkSession, nation: DataFrame, schema: str, rows: list) -> DataFrame:
+    """All ``rows`` for each nation, which comes first in repo_id."""
+    every = nation.select("n_name", F.explode(F.sequence(F.lit(0), F.lit(len(rows) - 1))).alias("k"))
+    full = [(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)]
+    return every.join(F.broadcast(spark.createDataFrame(full, "k int, " + schema)), "k").withColumn("repo_id", F.concat("n_name", F.lit("/"), "repo_id")).drop("k", "n_name")
+
+
+def score_table(spark: SparkSession, customer: DataFrame) -> DataFrame:
     kinds = {bool: "boolean", int: "bigint", float: "double", str: "string"}
-    return spark.createDataFrame(score_rows(), "repo_id string, " + ", ".join(f"{k} {kinds[type(v)]}" for k, v in DEFAULTS.items()))
+    own = spark.createDataFrame(score_rows(), "repo_id string, " + ", ".join(f"{k} {kinds[type(v)]}" for k, v in DEFAULTS.items()))
+    more = customer.select(F.concat(F.lit("customer"), F.col("c_custkey").cast("string")).alias("repo_id"), *[F.expr(e).cast(kinds[type(DEFAULTS[c])]).alias(c) for c, e in score_expressions().items()])
+    return own.unionByName(more)

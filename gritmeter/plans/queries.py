@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import api
 from .. import lookups as L
 from ..functions import scalar as S
 from ..operators import deadcode, duplication, git, graph, parsing, patterns, search
 from ..operators import scan as scanning
 from ..streaming import landing
 from . import fixtures as X
-from . import report, score
-from .cut import cut
+from . import score
+from .cut import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,11 +79,13 @@ def minified_files(spark, d):
     return p.select("page_id", S.is_minified(line_count(F.col("html")), F.octet_length("html")).alias("minified"))
 
 
-def _paths(spark: SparkSession) -> DataFrame:
-    return X.table(spark, "path string", X.PATHS)
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    """Odd paths, and one of them for each document below a folder of its language."""
+    more = X.by_document(spark, _read(spark, d, "documents").select("doc_id", "lang"), "path string", X.PATHS)
+    return X.table(spark, "path string", X.PATHS).unionAll(more.select(F.concat("lang", F.lit("/"), "path").alias("path")))
 
 
-_P = X.values("p", "path", X.PATHS)
+_P = X.numbered("p0", "path", X.PATHS) + f", p AS (SELECT path FROM p0 UNION ALL SELECT lang || '/' || path FROM documents JOIN p0 ON doc_id % {len(X.PATHS)} = k)"
 _BASE = "regexp_extract(path, '[^/]*$')"
 
 _STEM = f"(CASE WHEN regexp_matches({_BASE}, '^.+[.][^.]*$') THEN regexp_replace({_BASE}, '[.][^.]*$', '') ELSE {_BASE} END)"
@@ -101,12 +103,12 @@ def _list_sql(items) -> str:
     f"SELECT path, language, language NOT IN {_list_sql(L.NOT_SOURCE)} AS source, language IN {_list_sql(L.PARSED)} AS parsed FROM k"
 )
 def language_detect(spark, d):
-    return _paths(spark).withColumn("language", S.language(F.col("path"))).select("path", "language", S.is_source(F.col("language")).alias("source"), S.is_parsed(F.col("language")).alias("parsed"))
+    return _paths(spark, d).withColumn("language", S.language(F.col("path"))).select("path", "language", S.is_source(F.col("language")).alias("source"), S.is_parsed(F.col("language")).alias("parsed"))
 
 
 @query(f"WITH {_P} SELECT path, regexp_matches(lower(path), '/(test|tests|spec|specs|__tests__)/') OR {_TESTSTEM} AS test FROM p")
 def test_files(spark, d):
-    return _paths(spark).select("path", S.is_test_file(F.col("path")).alias("test"))
+    return _paths(spark, d).select("path", S.is_test_file(F.col("path")).alias("test"))
 
 
 @query(
@@ -114,12 +116,12 @@ def test_files(spark, d):
     f"SELECT path, test, test OR lower({_STEM}) IN {_list_sql(L.OUTPUT_STEMS)} OR lower({_PARENT}) IN {_list_sql(L.OUTPUT_DIRS)} AS output FROM t"
 )
 def test_context(spark, d):
-    return _paths(spark).select("path", S.is_test_context(F.col("path")).alias("test"), S.is_output_context(F.col("path")).alias("output"))
+    return _paths(spark, d).select("path", S.is_test_context(F.col("path")).alias("test"), S.is_output_context(F.col("path")).alias("output"))
 
 
 @query(f"WITH {_P} SELECT path, len(list_intersect(string_split(path, '/'), {'[' + _list_sql(L.SKIPPED_PARTS)[1:-1] + ']'})) > 0 OR contains(path, 'third_party') OR contains(path, 'z/deep') AS skipped FROM p")
 def path_skip(spark, d):
-    return _paths(spark).select("path", S.path_ignored(F.col("path"), ["*third_party/*", "z/deep*"]).alias("skipped"))
+    return _paths(spark, d).select("path", S.path_ignored(F.col("path"), ["*third_party/*", "z/deep*"]).alias("skipped"))
 
 
 @query(
@@ -128,16 +130,19 @@ def path_skip(spark, d):
     "SELECT path, CASE WHEN n < 2 THEN NULL WHEN len(g) >= 2 AND n > 2 THEN g[1] || '/' || g[2] WHEN len(g) >= 2 THEN g[1] ELSE array_to_string(g, '/') END AS grp FROM r"
 )
 def layer_groups(spark, d):
-    return _paths(spark).select("path", S.layer_group(F.col("path")).alias("grp"))
+    return _paths(spark, d).select("path", S.layer_group(F.col("path")).alias("grp"))
 
 
 _NAMES = X.values("n", "name, kind", [(x, k) for k, xs in L.CONFIG_NAMES.items() for x in xs])
-_CONFIGS = f"{X.values('l', 'repo_id, path, depth', X.LISTING)}, {_NAMES}, c AS (SELECT DISTINCT repo_id, kind, path FROM l JOIN n ON n.name = {_BASE} WHERE depth <= 3 AND NOT regexp_matches(path, '(^|/)([.][^/]*|node_modules|target|vendor)/'))"
+_LISTED = X.numbered("l0", "repo_id, path, depth", X.LISTING) + f", l AS (SELECT repo_id, path, depth FROM l0 UNION ALL SELECT source, 'm' || doc_id || '/' || path, depth + 1 FROM documents JOIN l0 ON doc_id % {len(X.LISTING)} = k)"
+_CONFIGS = f"{_LISTED}, {_NAMES}, c AS (SELECT DISTINCT repo_id, kind, path FROM l JOIN n ON n.name = {_BASE} WHERE depth <= 3 AND NOT regexp_matches(path, '(^|/)([.][^/]*|node_modules|target|vendor)/'))"
 
 
 @query(f"WITH {_CONFIGS} SELECT * FROM c")
 def config_kinds(spark, d):
-    return scanning.configs(X.table(spark, "repo_id string, path string, depth int", X.LISTING))
+    kind = "repo_id string, path string, depth int"
+    more = X.by_document(spark, _read(spark, d, "documents").select("doc_id", "source"), kind, X.LISTING)
+    return scanning.configs(X.table(spark, kind, X.LISTING).unionByName(more.select(F.col("source").alias("repo_id"), _moved(), (F.col("depth") + 1).alias("depth"))))
 
 
 @query(f"WITH {_CONFIGS} SELECT repo_id, " + ", ".join(f"bool_or(kind = '{k}') AS has_{k}" for k in L.CONFIG_KINDS) + " FROM c GROUP BY 1")
@@ -145,16 +150,23 @@ def config_flags(spark, d):
     return scanning.config_flags(config_kinds(spark, d))
 
 
-_TEXTS = X.values("t", "repo_id, path, content", X.CONFIG_TEXTS)
+_TEXTS = X.numbered("t0", "repo_id, path, content", X.CONFIG_TEXTS) + f", t AS (SELECT repo_id, path, content FROM t0 UNION ALL SELECT source, 'm' || doc_id || '/' || path, content FROM documents JOIN t0 ON doc_id % {len(X.CONFIG_TEXTS)} = k)"
+_TEXT_ROWS = "repo_id string, path string, content string"
 
 
-def _texts(spark: SparkSession) -> DataFrame:
-    return X.table(spark, "repo_id string, path string, content string", X.CONFIG_TEXTS)
+def _moved() -> Column:
+    return F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit("/"), "path").alias("path")
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Configuration texts, and one of them for each document in the repository of its source."""
+    more = X.by_document(spark, _read(spark, d, "documents").select("doc_id", "source"), _TEXT_ROWS, X.CONFIG_TEXTS)
+    return X.table(spark, _TEXT_ROWS, X.CONFIG_TEXTS).unionByName(more.select(F.col("source").alias("repo_id"), _moved(), "content"))
 
 
 @query(f"WITH {_TEXTS}, {X.values('m', 'mark, kind', sorted(L.PYPROJECT.items()))} SELECT DISTINCT repo_id, kind, path FROM t JOIN m ON contains(content, mark) WHERE {_BASE} = 'pyproject.toml'")
 def pyproject_kinds(spark, d):
-    return scanning.pyproject_kinds(_texts(spark))
+    return scanning.pyproject_kinds(_texts(spark, d))
 
 
 @query(
@@ -162,7 +174,7 @@ def pyproject_kinds(spark, d):
     "SELECT repo_id, strlen(content) AS readme_bytes, EXISTS (SELECT 1 FROM h WHERE contains(lower(content), hint)) AS readme_has_setup FROM r"
 )
 def readme_signals(spark, d):
-    return scanning.readme_signals(_texts(spark))
+    return scanning.readme_signals(_texts(spark, d))
 
 
 @query(
@@ -170,7 +182,7 @@ def readme_signals(spark, d):
     f"g AS (SELECT repo_id, count(DISTINCT x) FILTER (x IN {_list_sql(L.BUILD_TARGETS)}) AS n FROM k GROUP BY 1) SELECT DISTINCT s.repo_id, CAST(coalesce(n, 0) AS BIGINT) AS targets, coalesce(n, 0) > 0 AS build_has_standard FROM s LEFT JOIN g USING (repo_id)"
 )
 def build_targets(spark, d):
-    return scanning.build_signals(_texts(spark)).select("repo_id", F.size("build_targets").cast("bigint").alias("targets"), "build_has_standard")
+    return scanning.build_signals(_texts(spark, d)).select("repo_id", F.size("build_targets").cast("bigint").alias("targets"), "build_has_standard")
 
 
 @query(
@@ -178,7 +190,7 @@ def build_targets(spark, d):
     "SELECT repo_id, contains(name, 'compose') OR (regexp_matches(upper(content), '(?m)^\\s*FROM ') AND regexp_matches(upper(content), '(?m)^\\s*(RUN|CMD|ENTRYPOINT) ')) AS docker_useful FROM k"
 )
 def docker_signals(spark, d):
-    return scanning.docker_signals(_texts(spark))
+    return scanning.docker_signals(_texts(spark, d))
 
 
 @query(
@@ -193,24 +205,27 @@ def dir_depth(spark, d):
     return scanning.directory_stats(_read(spark, d, "documents").select(F.col("source").alias("repo_id"), F.get(paths, (k % 6).cast("int")).alias("path")).distinct())
 
 
-_CODE = X.values("code", "repo_id, path, content", X.CODE)
+_CODE = X.numbered("code0", "repo_id, path, content", X.CODE) + f", code AS (SELECT repo_id, path, content FROM code0 UNION ALL SELECT source, 'm' || doc_id || '/' || path, content || text FROM documents JOIN code0 ON doc_id % {len(X.CODE)} = k WHERE text IS NOT NULL)"
 _CODELINES = f"{_CODE}, cl AS (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS text, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM code), cx AS (SELECT *, ({_TESTSTEM} OR lower({_PARENT}) IN {_list_sql(L.TEST_DIRS)}) AS test, ({_TESTSTEM} OR lower({_PARENT}) IN {_list_sql(L.TEST_DIRS)} OR lower({_STEM}) IN {_list_sql(L.OUTPUT_STEMS)} OR lower({_PARENT}) IN {_list_sql(L.OUTPUT_DIRS)}) AS exempt FROM cl)"
 _PATTERNS = X.values("rx", "pattern, regex, ctx", [(k, r, c) for k, (r, c) in sorted(L.ANTI_PATTERNS.items())])
 _HITS = f"{_CODELINES}, {_PATTERNS}, hits AS (SELECT repo_id, path, line, pattern FROM cx, rx WHERE regexp_matches(text, regex) AND NOT (ctx AND exempt))"
 
 
-def _code(spark: SparkSession) -> DataFrame:
-    return scanning.files_from(X.table(spark, "repo_id string, path string, content string", X.CODE), F.col("repo_id"), F.col("path"), F.col("content"))
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    """Code, and every document behind one of its texts."""
+    more = X.by_document(spark, _read(spark, d, "documents").where("text is not null").select("doc_id", "source", "text"), _TEXT_ROWS, X.CODE)
+    rows = X.table(spark, _TEXT_ROWS, X.CODE).unionByName(more.select(F.col("source").alias("repo_id"), _moved(), F.concat("content", "text").alias("content")))
+    return scanning.files_from(rows, F.col("repo_id"), F.col("path"), F.col("content"))
 
 
 @query(f"WITH {_HITS} SELECT repo_id, path, CAST(line AS INT) AS line, pattern FROM hits")
 def anti_patterns(spark, d):
-    return patterns.anti_patterns(_code(spark))
+    return patterns.anti_patterns(_code(spark, d))
 
 
 @query(f"WITH {_HITS} SELECT repo_id, count(*) AS anti_patterns, count(*) FILTER (pattern IN ('debug_print', 'bare_except')) AS side_effects FROM hits GROUP BY 1")
 def anti_pattern_counts(spark, d):
-    return patterns.pattern_counts(patterns.anti_patterns(_code(spark)))
+    return patterns.pattern_counts(patterns.anti_patterns(_code(spark, d)))
 
 
 @query(
@@ -225,7 +240,7 @@ def document_patterns(spark, d):
     "AND (regexp_matches(text, '^var\\s+\\w+\\s*=') OR regexp_matches(text, '^[A-Z_]{2,}\\s*=\\s*\\[') OR regexp_matches(text, '^[A-Z_]{2,}\\s*=\\s*\\{') OR regexp_matches(text, '^static\\s+mut\\s'))"
 )
 def global_mutables(spark, d):
-    return patterns.global_mutables(_code(spark))
+    return patterns.global_mutables(_code(spark, d))
 
 
 _STYLES = (
@@ -264,13 +279,14 @@ def dup_filenames(spark, d):
     return search.duplicate_filenames(_page_files(spark, d))
 
 
-_WORDFN = "fn AS (SELECT lang AS repo_id, source AS path, CASE doc_id % 9 WHEN 0 THEN 'init' WHEN 1 THEN '<anonymous>' ELSE string_split(text, ' ')[1] END AS name FROM documents WHERE text IS NOT NULL)"
+_WORDFN = "fn AS (SELECT lang AS repo_id, source AS path, CASE doc_id % 9 WHEN 0 THEN 'init' WHEN 1 THEN '<anonymous>' ELSE word END AS name FROM (SELECT lang, source, doc_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE text IS NOT NULL))"
 
 
 def _word_functions(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 9
-    name = F.when(k == 0, "init").when(k == 1, "<anonymous>").otherwise(F.get(F.split("text", " "), F.lit(0)))
-    return _read(spark, d, "documents").where("text is not null").select(F.col("lang").alias("repo_id"), F.col("source").alias("path"), name.alias("name"))
+    name = F.when(k == 0, "init").when(k == 1, "<anonymous>").otherwise(F.col("word"))
+    words = _read(spark, d, "documents").where("text is not null").select("lang", "source", "doc_id", F.explode(F.split("text", " ")).alias("word"))
+    return words.select(F.col("lang").alias("repo_id"), F.col("source").alias("path"), name.alias("name"))
 
 
 @query(f"WITH {_WORDFN} SELECT repo_id, name, count(DISTINCT path) AS files FROM fn WHERE name NOT IN {_list_sql(['<anonymous>', *L.STRUCTURAL_NAMES])} GROUP BY 1, 2 HAVING count(DISTINCT path) >= 3")
@@ -282,7 +298,7 @@ def name_collisions(spark, d):
     f"WITH {_WORDFN}, {_P}, g AS (SELECT repo_id FROM fn WHERE name IN {_list_sql(L.GENERIC_NAMES)} UNION ALL SELECT 'en' FROM p WHERE {_STEM} IN {_list_sql(L.GENERIC_NAMES)}) SELECT repo_id, count(*) AS generic_count FROM g GROUP BY 1"
 )
 def generic_names(spark, d):
-    return search.generic_names(_paths(spark).withColumn("repo_id", F.lit("en")), _word_functions(spark, d))
+    return search.generic_names(_paths(spark, d).withColumn("repo_id", F.lit("en")), _word_functions(spark, d))
 
 
 _DUPFILES = "df AS (SELECT lang AS repo_id, CAST(doc_id AS VARCHAR) AS path, text AS content FROM documents WHERE text IS NOT NULL)"
@@ -330,10 +346,10 @@ def dup_totals(spark, d):
 
 
 @query(
-    f"WITH {X.values('lg', 'repo_id, log', X.LOGS)}, x AS (SELECT repo_id, regexp_replace(unnest(string_split(log, chr(10))), '^\\s+|\\s+$', '', 'g') AS path FROM lg) SELECT repo_id, path, count(*) AS commit_count FROM x WHERE path <> '' GROUP BY 1, 2"
+    f"WITH {X.values('lg', 'repo_id, log', X.LOGS)}, x AS (SELECT n_name || '/' || repo_id AS repo_id, regexp_replace(unnest(string_split(log, chr(10))), '^\\s+|\\s+$', '', 'g') AS path FROM lg, nation) SELECT repo_id, path, count(*) AS commit_count FROM x WHERE path <> '' GROUP BY 1, 2"
 )
 def file_frequency(spark, d):
-    return git.parse_log(X.table(spark, "repo_id string, log string", X.LOGS))
+    return git.parse_log(X.by_nation(spark, _read(spark, d, "nation"), "repo_id string, log string", X.LOGS))
 
 
 def _order_commits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, object]:
@@ -437,17 +453,19 @@ def fan_in(spark, d):
 
 
 _NATIONS = (
-    "ed AS (SELECT DISTINCT 'w' AS repo_id, cn.n_name AS src, sn.n_name AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey "
-    "JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey WHERE l_quantity > 49.5 AND l_discount > 0.09)"
+    "ec AS (SELECT cn.n_name AS src, sn.n_name AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey "
+    "JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2), ed AS (SELECT 'w' AS repo_id, src, dst FROM ec QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 2)"
 )
 
 
 def _nation_edges(spark: SparkSession, d: str) -> DataFrame:
+    """From each nation to the two that it buys most from."""
     nation = _read(spark, d, "nation").select("n_nationkey", "n_name")
-    line = _read(spark, d, "lineitem").where("l_quantity > 49.5 AND l_discount > 0.09")
-    joined = line.join(_read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(_read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    named = joined.join(nation.toDF("ck", "src"), F.col("c_nationkey") == F.col("ck")).join(nation.toDF("sk", "dst"), F.col("s_nationkey") == F.col("sk"))
-    return named.select(F.lit("w").alias("repo_id"), "src", "dst").distinct()
+    joined = _read(spark, d, "lineitem").join(_read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(_read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    counts = joined.groupBy("c_nationkey", "s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    named = counts.join(nation.toDF("ck", "src"), F.col("c_nationkey") == F.col("ck")).join(nation.toDF("sk", "dst"), F.col("s_nationkey") == F.col("sk"))
+    most = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))
+    return named.withColumn("r", most).where("r <= 2").select(F.lit("w").alias("repo_id"), "src", "dst")
 
 
 _SCC = (
@@ -502,7 +520,8 @@ def layering_score(spark, d):
 
 
 _DEAD = (
-    f"{X.values('fn', 'repo_id, name, path, start_line, line_count', X.DEAD_FUNCTIONS)}, {X.values('fl', 'repo_id, path, content', X.DEAD_FILES)}, {X.values('im', 'repo_id, path, module_path', X.DEAD_IMPORTS)}, "
+    f"{X.values('fn0', 'repo_id, name, path, start_line, line_count', X.DEAD_FUNCTIONS)}, {X.values('fl0', 'repo_id, path, content', X.DEAD_FILES)}, {X.values('im0', 'repo_id, path, module_path', X.DEAD_IMPORTS)}, "
+    "fn AS (SELECT n_name || '/' || fn0.repo_id AS repo_id, name, path, start_line, line_count FROM fn0, nation), fl AS (SELECT n_name || '/' || fl0.repo_id AS repo_id, path, content FROM fl0, nation), im AS (SELECT n_name || '/' || im0.repo_id AS repo_id, path, module_path FROM im0, nation), "
     f"sm AS (SELECT repo_id, path, {_STEM} AS stem FROM fl), co AS (SELECT DISTINCT sm.repo_id, sm.path FROM sm WHERE EXISTS (SELECT 1 FROM im WHERE im.repo_id = sm.repo_id AND im.path <> sm.path AND contains(module_path, stem)) "
     "OR (strlen(stem) >= 4 AND EXISTS (SELECT 1 FROM fl WHERE fl.repo_id = sm.repo_id AND fl.path <> sm.path AND list_contains(regexp_split_to_array(content, '[^A-Za-z0-9_]+'), stem)))), "
     f"{X.values('hk', 'prefix', list(L.FRAMEWORK_PREFIXES))}, ca AS (SELECT * FROM fn WHERE name <> '<anonymous>' AND NOT starts_with(name, 'test') AND NOT starts_with(name, 'Test') AND NOT starts_with(name, '__') AND line_count >= 15 AND strlen(name) >= 8 "
@@ -512,43 +531,58 @@ _DEAD = (
 )
 
 
-def _dead(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _dead(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = lambda schema, of: X.by_nation(spark, _read(spark, d, "nation"), schema, of)
     return (
-        X.table(spark, "repo_id string, name string, path string, start_line int, line_count int", X.DEAD_FUNCTIONS),
-        X.table(spark, "repo_id string, path string, module_path string", X.DEAD_IMPORTS),
-        X.table(spark, "repo_id string, path string, content string", X.DEAD_FILES),
+        rows("repo_id string, name string, path string, start_line int, line_count int", X.DEAD_FUNCTIONS),
+        rows("repo_id string, path string, module_path string", X.DEAD_IMPORTS),
+        rows("repo_id string, path string, content string", X.DEAD_FILES),
     )
 
 
 @query(f"WITH {_DEAD} SELECT repo_id, path FROM co")
 def connected_files(spark, d):
-    _, imports, files = _dead(spark)
+    _, imports, files = _dead(spark, d)
     return deadcode.connected(files, imports)
 
 
 @query(f"WITH {_DEAD} SELECT repo_id, name, path, line_count FROM un")
 def dead_functions(spark, d):
-    return deadcode.unreferenced(*_dead(spark))
+    return deadcode.unreferenced(*_dead(spark, d))
 
 
 @query(f"WITH {_DEAD} SELECT r.repo_id, count(un.name) AS unreferenced_functions, CAST(coalesce(sum(un.line_count), 0) AS BIGINT) AS unreferenced_lines FROM (SELECT DISTINCT repo_id FROM fl) r LEFT JOIN un USING (repo_id) GROUP BY 1")
 def dead_code(spark, d):
-    return deadcode.dead_code(*_dead(spark))
+    return deadcode.dead_code(*_dead(spark, d))
 
 
-@query()
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    """What is parsed from code, and from one of its texts for each document."""
+    rows = X.CODE + X.TRICKY
+    more = X.by_document(spark, _read(spark, d, "documents").select("doc_id", "source"), _TEXT_ROWS, rows)
+    every = X.table(spark, _TEXT_ROWS, rows).unionByName(more.select(F.col("source").alias("repo_id"), _moved(), "content"))
+    return parsing.parse(scanning.files_from(every, F.col("repo_id"), F.col("path"), F.col("content")))
+
+
+def _parsed_sql(columns: str, found: dict[str, list[tuple]]) -> str:
+    """The rows that each text is known to give, for the texts themselves and for each document that has one."""
+    rows = [(k, repo, path, *x) for k, (repo, path, _) in enumerate(X.CODE + X.TRICKY) for x in found.get(path, [])]
+    return f"WITH {X.values('ex', 'k, repo_id, path, ' + columns, rows)} SELECT repo_id, path, {columns} FROM ex UNION ALL SELECT source, 'm' || doc_id || '/' || path, {columns} FROM documents JOIN ex ON doc_id % {len(X.CODE + X.TRICKY)} = k"
+
+
+@query(_parsed_sql("name, start_line, line_count, complexity, nesting", X.FUNCTIONS))
 def functions(spark, d):
-    return parsing.functions(parsing.parse(_code(spark)))
+    return parsing.functions(_parsed(spark, d))
 
 
-@query()
+@query(_parsed_sql("module_path, line", X.IMPORTS))
 def imports(spark, d):
-    return parsing.imports(parsing.parse(_code(spark)))
+    return parsing.imports(_parsed(spark, d))
 
 
-@query()
+@query(_parsed_sql("kind, line", X.HAZARDS))
 def hazards(spark, d):
-    return parsing.hazards(parsing.parse(_code(spark)))
+    return parsing.hazards(_parsed(spark, d))
 
 
 _CPT = "CASE language WHEN 'Rust' THEN 3.2 WHEN 'JavaScript' THEN 3.8 ELSE 3.5 END"
@@ -581,6 +615,10 @@ def size_multiplier(spark, d):
     return c.select("c_custkey", S.size_multiplier(F.abs("c_acctbal") * 1000, F.lit(None).cast("double")).alias("size_multiplier"))
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return X.score_table(spark, _read(spark, d, "customer"))
+
+
 _EFFECTIVE = "CASE WHEN is_git AND active_files > 0 THEN active_bytes ELSE total_bytes END"
 _RATED = f"""{X.score_values()}, e AS (
   SELECT *, {_EFFECTIVE} AS eb, CASE WHEN source_files > 0 THEN test_files / source_files ELSE 0.0 END AS tr FROM w
@@ -608,21 +646,21 @@ _RATED = f"""{X.score_values()}, e AS (
 
 @query(f"WITH {_RATED} SELECT repo_id, ordinal, name, weight, rating FROM sc")
 def dimension_scores(spark, d):
-    return score.dimensions(X.score_table(spark)).drop("evidence")
+    return score.dimensions(_scores(spark, d)).drop("evidence")
 
 
 @query(
     f"WITH {_RATED} SELECT repo_id, raw_score, size_multiplier, friction_index, CASE WHEN friction_index <= 20 THEN 'CLEAN' WHEN friction_index <= 40 THEN 'ACCEPTABLE' WHEN friction_index <= 60 THEN 'MESSY' WHEN friction_index <= 80 THEN 'SLOPPY' ELSE 'DISASTER' END AS verdict FROM ix"
 )
 def friction_index(spark, d):
-    return score.index(X.score_table(spark))
+    return score.index(_scores(spark, d))
 
 
 @query(
     f"WITH {_RATED} SELECT repo_id, name, p.proposed, CAST(CASE WHEN p.proposed >= rating THEN 0 ELSE greatest(round(weight * (rating - p.proposed) / 5.0::DOUBLE * mult), 1) END AS INT) AS reduction FROM sc, (VALUES (0), (2), (4)) p(proposed)"
 )
 def simulate_reduction(spark, d):
-    dims = score.dimensions(X.score_table(spark)).join(score.index(X.score_table(spark)).select("repo_id", "size_multiplier"), "repo_id")
+    dims = score.dimensions(_scores(spark, d)).join(score.index(_scores(spark, d)).select("repo_id", "size_multiplier"), "repo_id")
     dims = dims.withColumn("proposed", F.explode(F.array(F.lit(0), F.lit(2), F.lit(4))))
     return dims.select("repo_id", "name", "proposed", score.reduction(F.col("weight"), F.col("rating"), F.col("proposed"), F.col("size_multiplier")).cast("int").alias("reduction"))
 
@@ -637,17 +675,17 @@ SELECT *, discovery + reading + tracing + comprehension AS total_navigation, CAS
   CAST(greatest(176000 - (discovery + reading + tracing + comprehension), 0) AS BIGINT) AS remaining FROM b"""
 )
 def context_budget(spark, d):
-    return score.budget(X.score_table(spark))
+    return score.budget(_scores(spark, d))
 
 
 _LARGE = [("heavy", f"src/m{i}.py", 600 + i, 30, "Python") for i in range(9)] + [("heavy", "src/vendor/v.py", 9000, 90, "Python"), ("active", "src/big.ts", 800, 12, "TypeScript")]
 _WORST = [("heavy", "twist", "src/m3.py", 17, 44, 210, 9, 12), ("active", "bend", "src/big.ts", 5, 18, 60, 4, 2)]
 
 
-def _recommended(spark: SparkSession) -> DataFrame:
+def _recommended(spark: SparkSession, d: str) -> DataFrame:
     large = X.table(spark, "repo_id string, path string, line_count int, functions bigint, language string", _LARGE)
     worst = X.table(spark, "repo_id string, name string, path string, start_line int, complexity int, line_count int, nesting int, n_complex bigint", _WORST)
-    return score.recommendations(X.score_table(spark), large, worst)
+    return score.recommendations(_scores(spark, d), large, worst)
 
 
 _RULES = f"""WITH {_RATED}, {X.values("lg", "repo_id, path, line_count, functions, language", _LARGE)}, {X.values("wf", "repo_id, name, path, start_line, complexity, line_count, nesting, n_complex", _WORST)},
@@ -678,24 +716,17 @@ c AS (
 
 @query(f"{_RULES} SELECT repo_id, priority, estimated_reduction, target FROM rk")
 def recommendations(spark, d):
-    return _recommended(spark).select("repo_id", "priority", "estimated_reduction", "target")
+    return _recommended(spark, d).select("repo_id", "priority", "estimated_reduction", "target")
 
 
 @query(f"{_RULES} SELECT repo_id, priority, CAST(greatest(friction_index - sum(estimated_reduction) OVER (PARTITION BY repo_id ORDER BY priority), 0) AS INT) AS index_after FROM rk JOIN ix USING (repo_id)")
 def running_index(spark, d):
-    return score.running_index(score.index(X.score_table(spark)), _recommended(spark))
-
-
-@query()
-def evidence(spark, d):
-    return score.dimensions(X.score_table(spark)).select("repo_id", "name", "evidence")
+    return score.running_index(score.index(_scores(spark, d)), _recommended(spark, d))
 
 
 @query()
 def report_json(spark, d):
-    s = api.scan_rows(X.table(spark, "repo_id string, path string, content string", X.CODE + X.CONFIG_TEXTS))
-    a = api.analyze(s)
-    return report.report_json(s, a, api.score(a), cut(api.recommend(s, a)))
+    return derived._reports(spark, d)
 
 
 @query(ORACLES["lang_breakdown"])
@@ -703,7 +734,11 @@ def stream_totals(spark, d):
     """Totals kept by a stream that reads the documents as they land."""
     schema = _read(spark, d, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{d}/documents*")
-    name = f"totals_{abs(hash(d)) % 10**9}_{spark.sparkContext.startTime}"
-    done = landing.running_totals(_rows(stream)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    out = f"{shared_folder(spark)}/totals-{uuid.uuid4().hex}"
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/rows")
+    done = landing.running_totals(_rows(stream)).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").foreachBatch(keep).trigger(availableNow=True).start()
     done.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{out}/rows")
+
+
+from . import derived  # noqa: E402, F401

@@ -37,6 +37,13 @@ class IgnoreRules:
             rooted = "/" in rule
             self.rules.append((folder, rule.lstrip("/"), back, only_dirs, rooted))
 
+    @staticmethod
+    def of(text: str) -> list[tuple[str, str, bool, bool, bool]]:
+        """The rules of a text that counts from the root."""
+        own = IgnoreRules()
+        own.add("", text)
+        return own.rules
+
     def ignored(self, path: str, is_dir: bool) -> bool:
         out = False
         for folder, rule, back, only_dirs, rooted in self.rules:
@@ -50,6 +57,13 @@ class IgnoreRules:
         return out
 
 
+def _shared_ignores(root: str) -> list[str]:
+    """Ignore files outside the tree, the stronger first: the clone's own, then the user's."""
+    named = subprocess.run(["git", "-C", root, "config", "--path", "core.excludesFile"], capture_output=True, text=True, check=False).stdout.strip()
+    user = named or os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "git", "ignore")
+    return [p for p in (os.path.join(root, ".git", "info", "exclude"), user) if os.path.isfile(p)]
+
+
 def walk(root: str) -> Iterator[tuple[str, bool, int, float, int]]:
     """(relative path, is directory, bytes, modified, depth) below ``root``; hidden entries are listed at their place but only entered for files to be left out later."""
     rules = IgnoreRules()
@@ -65,10 +79,15 @@ def walk(root: str) -> Iterator[tuple[str, bool, int, float, int]]:
         if own is not None:
             with open(own.path, encoding="utf-8", errors="replace") as f:
                 rules.add(folder, f.read())
+        if not folder:
+            for shared in _shared_ignores(root):
+                with open(shared, encoding="utf-8", errors="replace") as f:
+                    rules.rules[:0] = IgnoreRules.of(f.read())
         for e in entries:
             path = f"{folder}/{e.name}" if folder else e.name
             is_dir = e.is_dir(follow_symlinks=False)
-            if rules.ignored(path, is_dir):
+            # Links, sockets and the like are no files of the repository.
+            if not is_dir and not e.is_file(follow_symlinks=False) or rules.ignored(path, is_dir):
                 continue
             info = e.stat(follow_symlinks=False)
             yield path, is_dir, 0 if is_dir else info.st_size, info.st_mtime, depth + 1
@@ -127,25 +146,33 @@ def binary_files(spark: SparkSession, folder: str, repo_id: str, ignore: list[st
     return named.select(F.lit(repo_id).alias("repo_id"), "path", "language", F.octet_length("content").cast("bigint").alias("size_bytes"), line_count(text).cast("int").alias("line_count"), text.alias("content"))
 
 
-def commits(spark: SparkSession, roots: dict[str, str], days: int = 3650) -> DataFrame:
-    """(repo_id, commit_id, ts, path) of each root's history, by ``git log``; folders without one give no rows."""
+def _commit_rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.timestamp("us", "UTC")), pa.array(cols[3])], ["repo_id", "commit_id", "ts", "path"])
+
+
+def commits(spark: SparkSession, roots: dict[str, str], days: int | None = None) -> DataFrame:
+    """(repo_id, commit_id, ts, path) of each root's whole history, or of that many days, by ``git log``, read as it comes; folders without one give no rows."""
     kind = "repo_id string, commit_id string, ts timestamp, path string"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                command = ["git", "-C", r["root"], "log", f"--since={days} days ago", "--name-only", "--diff-filter=ACMR", "--format=%x01%H %at"]
-                got = subprocess.run(command, capture_output=True, text=True, check=False)
+                command = ["git", "-C", r["root"], "log", *([f"--since={days} days ago"] if days else []), "--name-only", "--diff-filter=ACMR", "--format=%x01%H %at"]
                 rows, commit, when = [], None, None
-                for line in got.stdout.splitlines() if got.returncode == 0 else []:
-                    if line.startswith("\x01"):
-                        commit, stamp = line[1:].split(" ")
-                        when = datetime.fromtimestamp(int(stamp), UTC)
-                    elif line.strip():
-                        rows.append((r["repo_id"], commit, when, line.strip()))
+                with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, errors="replace") as log:
+                    for line in log.stdout:
+                        line = line.rstrip("\n")
+                        if line.startswith("\x01"):
+                            commit, stamp = line[1:].split(" ")
+                            when = datetime.fromtimestamp(int(stamp), UTC)
+                        elif line.strip():
+                            rows.append((r["repo_id"], commit, when, line.strip()))
+                            if len(rows) == 10_000:
+                                yield _commit_rows(rows)
+                                rows = []
                 if rows:
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.timestamp("us", "UTC")), pa.array(cols[3])], ["repo_id", "commit_id", "ts", "path"])
+                    yield _commit_rows(rows)
 
     base = spark.createDataFrame(sorted(roots.items()), "repo_id string, root string")
     return base.repartition(max(1, len(roots))).mapInArrow(run, kind)

@@ -12,22 +12,37 @@ from gritmeter.plans import report, score
 from gritmeter.sources import files as sources
 
 
+def _ring(*nodes):
+    return list(zip(nodes, nodes[1:] + nodes[:1], strict=True))
+
+
+def _path(*nodes):
+    return list(zip(nodes, nodes[1:]))
+
+
 @pytest.mark.parametrize(
     "pairs,parts",
     [
-        ([("a", "b"), ("b", "c")], []),
-        ([("a", "b"), ("b", "a")], [["a", "b"]]),
-        ([("a", "b"), ("b", "c"), ("c", "a")], [["a", "b", "c"]]),
-        ([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")], []),
-        ([("a", "b"), ("b", "a"), ("c", "d"), ("d", "c")], [["a", "b"], ["c", "d"]]),
-        ([("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("d", "e")], [["a", "b", "c", "d"]]),
-        ([("a", "a")], []),
+        (_path("ui", "core", "db"), []), (_ring("ui", "core"), [["core", "ui"]]), (_ring("ui", "core", "db"), [["core", "db", "ui"]]), (_path("ui", "x", "db") + _path("ui", "y", "db"), []),
+        (_ring("ui", "x") + _ring("db", "y"), [["db", "y"], ["ui", "x"]]), (_ring("p", "q", "r", "s") + _path("s", "t"), [["p", "q", "r", "s"]]), (_ring("self"), []),
     ],
-)
+)
 def test_components(pairs, parts):
     assert sorted(graph.strong_components(pairs)) == parts
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_by_colours(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    pairs = [(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(22)] + _ring("a", "b", "c")
+    rows = [(r, x, y) for r in ("one", "two") for x, y in pairs if x != y]
+    found = graph.coloured(spark.createDataFrame(rows, "repo_id string, src string, dst string")).collect()
+    want = sorted(graph.strong_components(pairs))
+    assert sorted(x["members"] for x in found if x["repo_id"] == "one") == want == sorted(x["members"] for x in found if x["repo_id"] == "two")
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), max_size=20))
 def test_components_are_mutual_reachability(pairs):
@@ -69,17 +84,18 @@ def test_normalize():
 
 
 def test_score_bounds(spark):
-    rows = score.dimensions(X.score_table(spark)).collect()
-    assert len(rows) == 10 * len(X.SCORES) and all(0 <= r["rating"] <= 5 for r in rows)
+    wide = X.score_table(spark, spark.createDataFrame([(7,), (8,)], "c_custkey long"))
+    rows = score.dimensions(wide).collect()
+    assert len(rows) == 10 * (len(X.SCORES) + 2) and all(0 <= r["rating"] <= 5 for r in rows)
     assert sum(r["weight"] for r in rows if r["repo_id"] == "blank") == 100
-    index = {r["repo_id"]: r["friction_index"] for r in score.index(X.score_table(spark)).collect()}
+    index = {r["repo_id"]: r["friction_index"] for r in score.index(wide).collect()}
     assert index["clean"] <= 5 and index["heavy"] > 80 and index["blank"] == 0
 
 
 def test_recommendations_are_ranked(spark):
     from gritmeter.plans.queries import _recommended
 
-    rows = _recommended(spark).orderBy("repo_id", "priority").collect()
+    rows = _recommended(spark, "/root/testdata/sf0.001").orderBy("repo_id", "priority").collect()
     for repo in {r["repo_id"] for r in rows}:
         own = [r for r in rows if r["repo_id"] == repo]
         assert [r["priority"] for r in own] == list(range(1, len(own) + 1)) and len(own) <= 10
@@ -110,6 +126,18 @@ def test_folder_scan(spark, folder):
     assert "src/a.py" in {r["path"] for r in sources.binary_files(spark, folder, "r").collect()}
 
 
+def test_listing_of_files_proper(tmp_path):
+    import os
+
+    (tmp_path / "a.py").write_text("x\n")
+    (tmp_path / "own.py").write_text("x\n")
+    os.symlink(tmp_path / "a.py", tmp_path / "link.py")
+    os.mkfifo(tmp_path / "pipe.py")
+    (tmp_path / ".git" / "info").mkdir(parents=True)
+    (tmp_path / ".git" / "info" / "exclude").write_text("own.py\n")
+    assert [p for p, is_dir, *_ in sources.walk(str(tmp_path)) if not is_dir] == ["a.py"]
+
+
 def test_four_calls(spark, folder):
     import json
 

@@ -93,3 +93,47 @@ def test_broken_code_is_read_as_far_as_it_goes():
 def test_nothing_in_empty_text():
     for language in P.L.PARSED:
         assert P.functions_of(language, "") == [] and P.imports_of(language, "") == [] and P.hazards_of(language, "") == []
+
+
+def test_semicolons_of_a_loop_head_dont_end_it():
+    assert P.functions_of("C", "int f(int n){ for (int i=0;i<n;i++) { if (i) {} } }") == [("f", 1, 1, 3, 2)]
+    assert P.functions_of("JavaScript", "function f(n){ for(let i=0;i<n;i++){ if(i){ while(1){} } } }")[0][4] == 3
+
+
+def test_else_if_nests_in_its_if():
+    assert P.functions_of("Java", "class A { int f(){ if(a){ x(); } else if (b) { y(); } else { while(c){} } } }") == [("f", 1, 1, 4, 3)]
+    assert P.functions_of("PHP", "<?php function f($a){ if($a){ try { x(); } catch (E $e) { if ($e) {} } } }")[0][4] == 3
+
+
+def test_a_function_inside_a_condition_keeps_the_condition_open():
+    assert P.functions_of("JavaScript", "function o(){ if (a.some(function(x){ if (x) { return 1 } })) { for(;;){} } }") == [("o", 1, 1, 4, 2), (P.ANONYMOUS, 1, 1, 2, 1)]
+
+
+def test_js_regular_expressions_and_templates():
+    assert [f[0] for f in P.functions_of("JavaScript", "function f(){ return /[{]/.test(x) }\nfunction g(){ return a / 2 / b }")] == ["f", "g"]
+    assert P.functions_of("JavaScript", "function f(){ return `${x && `${y ? 1 : 2}`} }` }") == [("f", 1, 1, 3, 0)]
+
+
+def test_python_conditional_expressions_and_comprehensions():
+    assert P.functions_of("Python", "def f():\n    return [x for x in y if x] if z else w\n")[0][3] == 2
+    assert P.functions_of("Python", "def f():\n    a = [\n        x\n        for x in y\n        if x\n    ]\n    if a:\n        pass\n    else:\n        pass\n")[0][3:] == (2, 1)
+
+
+def test_imports_in_texts_and_comments_are_none():
+    assert P.imports_of("Python", '"""\nimport os first\n"""\nimport a.b, c; import d\nimport numpy as np\nfrom . import z\nfrom __future__ import q\n') == [("a.b", 4), ("d", 4), (".", 6)]
+    assert P.imports_of("JavaScript", "/* import x from 'no' */\nimport('d');\nimport a from 'a'; import {b,\n c} from 'b'\nimport 's'\n// import 'z'\n") == [("a", 3), ("b", 3), ("s", 5)]
+    assert P.imports_of("Go", '// import "no"\nimport "os"\n/*\nimport "never"\n*/\n') == [("os", 2)]
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    start = time.time()
+    assert len(P.functions_of("JavaScript", "const a = () => {\n" * 4000 + "}" * 4000)) == 4000
+    assert len(P.functions_of("JavaScript", "a => " * 4000 + "1;\n")) == 4000
+    assert time.time() - start < 10
+
+
+def test_strict_rows_of_keyword_tokens():
+    assert P.functions_of("JavaScript", "function f(){}", strict=True) == [("f", 1, 1, 1, 0), (P.ANONYMOUS, 1, 1, 1, 0)]
+    assert P.functions_of("Ruby", "def x(a)\n  if a\n    1\n  end\nend\n", strict=True) == [("x", 1, 5, 3, 2)]
