@@ -1,17 +1,23 @@
 """Main text of web pages by site template removal.
 
-Every element's subtree gets a hash of its tags, classes and text. Spark counts per
-host on how many different pages each hash stands; subtrees that recur across many
-of a host's pages are its template and are deleted, along with what HTML itself or
-a class name marks as no content. Pages with equal text count once, so mirrored
-articles don't make their own paragraphs a template.
+Every element's subtree gets two hashes: one of its tags, classes and text, and one of
+its shape, in which words are masked, equal siblings count once, and the tags and
+classes that it stands in are part. Spark counts per host on how many different pages
+each hash stands; subtrees that recur across many of a host's pages are its template
+and are deleted, along with what HTML itself or a class name marks as no content. Pages
+with equal text count once, so mirrored articles don't make their own paragraphs a
+template. A shape is template only where it stands outside the block that holds most
+of a page's text, and holds little text itself, so menus, adverts and footers go
+though their words change, and paragraphs of one shape stay.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -21,8 +27,10 @@ from pyspark.sql import functions as F
 from .arrowmap import map_slices
 from .storage import bounded_broadcast, stash
 
-#: A subtree is template if it stands on so many different pages of its host at least, and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.3
+#: A subtree is template if it stands on so many different pages of its host at least, and on this share of them or, word for word, on so many.
+LEAST_PAGES, LEAST_SHARE, MANY_PAGES = 5, 0.3, 50
+#: Share of a page's text beyond which a block is its body; share that a template shape holds at most, and of its pages on which it stands in the body.
+BODY_SHARE, SHAPE_TEXT, SHAPE_INSIDE = 0.6, 0.35, 0.1
 #: Template hashes (8 bytes each) that are broadcast at most; beyond, pages are joined with them by host.
 BROADCAST_HASHES = 1_000_000
 
@@ -43,15 +51,46 @@ _CONTAINERS = frozenset("div section aside ul ol dl table nav header footer form
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
+class _Open:
+    """An open element."""
+
+    __slots__ = ("tag", "first", "drop", "main", "parts", "shape", "label", "path", "under", "in_main")
+
+    def __init__(self, tag: str, first: int, drop: bool, main: bool, label: str, above: _Open | None):
+        self.tag, self.first, self.drop, self.main, self.label = tag, first, drop, main, label
+        self.parts, self.shape = [label], [label]
+        self.path = _code(f"{above.path}/{above.label}") if above else 0
+        #: Whether an element around it is dropped, or main.
+        self.under = above is not None and (above.under or above.drop)
+        self.in_main = above is not None and (above.in_main or above.main)
+
+
+class _Element(NamedTuple):
+    first: int
+    end: int
+    tag: str
+    drop: bool
+    main: bool
+    under: bool
+    code: int
+    shape: int
+
+
+def _code(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
 class Page:
-    """Text segments of a page in order (None: a block's edge) and its elements as (first, past last segment, tag, dropped, main, hash)."""
+    """Text segments of a page in order (None: a block's edge) and its elements, inner before outer. Time is linear in the source, however deep elements nest."""
 
     def __init__(self, source: str):
         self.segments: list[str | None] = []
-        self.elements: list[tuple[int, int, str, bool, bool, int]] = []
-        #: Open elements: tag, first segment, dropped, main, parts to hash.
-        self.open: list[tuple[str, int, bool, bool, list[str]]] = []
-        at, end, segments, open_ = 0, len(source), self.segments, self.open
+        self.links: list[bool] = []
+        self.elements: list[_Element] = []
+        self.open: list[_Open] = []
+        #: Places in ``open`` by tag.
+        self.places: dict[str, list[int]] = {}
+        at, end, open_ = 0, len(source), self.open
         raw: dict[str, re.Pattern] = {}
         while at < end:
             m = _TAG.search(source, at)
@@ -69,10 +108,10 @@ class Page:
                 self._end(name)
                 continue
             if name not in _INLINE:
-                segments.append(None)
+                self._edge()
             if name in _VOID:
                 if open_:
-                    open_[-1][4].append(name)
+                    open_[-1].parts.append(name)
                 continue
             attrs = m.group(3)
             if name in _RAW:
@@ -81,25 +120,35 @@ class Page:
                     stop = close.search(source, at)
                     at = stop.end() if stop else end
                 continue
-            if name in _CLOSES_P and any(o[0] == "p" for o in open_):
+            if name in _CLOSES_P and self.places.get("p"):
                 self._close_to("p")
             elif name in _SIBLING:
                 kinds, bounds = _SIBLING[name]
-                for o in reversed(open_):
-                    if o[0] in bounds:
-                        break
-                    if o[0] in kinds:
-                        self._close_to(o[0])
-                        break
+                last = lambda tags: max((x[-1] for t in tags if (x := self.places.get(t))), default=-1)
+                if (k := last(kinds)) > last(bounds):
+                    self._close_to(open_[k].tag)
             self._start(name, attrs)
         while open_:
             self._pop()
 
+    def _edge(self) -> None:
+        self.segments.append(None)
+        self.links.append(False)
+
     def _text(self, text: str) -> None:
         if text:
             self.segments.append(html.unescape(text) if "&" in text else text)
+            self.links.append(bool(self.places.get("a")))
             if self.open:
-                self.open[-1][4].append(text)
+                self.open[-1].parts.append(text)
+                if not text.isspace():
+                    self._shaped("T")
+
+    def _shaped(self, part: str) -> None:
+        """Add to the shape of the innermost element; what equals the part before it counts once."""
+        shape = self.open[-1].shape
+        if len(shape) == 1 or shape[-1] != part:
+            shape.append(part)
 
     def _start(self, name: str, attrs: str) -> None:
         drop, main, label = name in _DROP, name in ("article", "main"), name
@@ -124,69 +173,108 @@ class Page:
                 # An article's class may speak of anything ("has-comments"); only whole comments are told by it.
                 drop |= bool(low & _WORDS) if name != "article" else bool(low & {"comment", "ad", "ads", "advert", "sponsored", "promo", "related"})
                 site |= bool(low & _SITE_ONLY)
-        if site and not any(o[3] for o in self.open):
-            drop = True
-        self.open.append((name, len(self.segments), drop, main, [label]))
+        above = self.open[-1] if self.open else None
+        new = _Open(name, len(self.segments), drop, main, label, above)
+        new.drop |= site and not new.in_main
+        self.places.setdefault(name, []).append(len(self.open))
+        self.open.append(new)
 
     def _pop(self) -> None:
-        name, first, drop, main, parts = self.open.pop()
-        if name not in _INLINE:
-            self.segments.append(None)
-        code = xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "replace")) - (1 << 63)
+        o = self.open.pop()
+        self.places[o.tag].pop()
+        inline = o.tag in _INLINE
+        if not inline:
+            self._edge()
+        code = _code("\x1f".join(o.parts))
+        shape = _code(f"{o.path}\x1f" + "\x1f".join(o.shape))
         if self.open:
-            self.open[-1][4].append(f"\x1e{code}")
-        if name not in _INLINE or drop:
-            self.elements.append((first, len(self.segments), name, drop, main, code))
+            self.open[-1].parts.append(f"\x1e{code}")
+            # Inline markup is part of the text around it, but for links.
+            for part in (o.shape[1:] if o.tag != "a" else ["A"]) if inline else [f"\x1e{shape}"]:
+                self._shaped(part)
+        if not inline or o.drop:
+            self.elements.append(_Element(o.first, len(self.segments), o.tag, o.drop, o.main, o.under, code, shape))
 
     def _close_to(self, name: str) -> None:
         while self.open:
-            last = self.open[-1][0]
+            last = self.open[-1].tag
             self._pop()
             if last == name:
                 break
 
     def _end(self, name: str) -> None:
-        if any(o[0] == name for o in self.open):
+        if self.places.get(name):
             self._close_to(name)
         elif name == "p":
-            self.segments.append(None)
-
-    def main_ranges(self) -> list[tuple[int, int]]:
-        """Segments of articles, else of main parts, that aren't in dropped elements; all segments if there are none."""
-        dropped = [(a, b) for a, b, _, drop, _, _ in self.elements if drop]
-        inside = lambda a, b: any(x <= a and b <= y for x, y in dropped)
-        for kind in (lambda t, m: t == "article", lambda t, m: m):
-            found = [(a, b) for a, b, t, _, m, _ in self.elements if kind(t, m) and not inside(a, b)]
-            if any(s and not s.isspace() for a, b in found for s in self.segments[a:b]):
-                return found
-        return [(0, len(self.segments))]
+            self._edge()
 
-    def hashes(self) -> list[int]:
-        """Distinct hashes of the elements that may be deleted as template."""
-        return sorted({c for a, b, t, _, m, c in self._deletable()})
+    def _counts(self) -> tuple[list[int], list[int]]:
+        """Characters but white space before each segment, of all and of those outside links and dropped elements."""
+        gone = bytearray(len(self.segments))
+        for e in self.elements:
+            if e.drop and not e.under:
+                gone[e.first : e.end] = b"\1" * (e.end - e.first)
+        every, own = [0], [0]
+        for s, link, g in zip(self.segments, self.links, gone, strict=True):
+            n = 0 if s is None or s.isspace() else len(s.strip())
+            every.append(every[-1] + n)
+            own.append(own[-1] + (0 if link or g else n))
+        return every, own
+
+    def main_ranges(self, every: list[int]) -> list[tuple[int, int]]:
+        """Segments of articles, else of main parts, that aren't in dropped elements; all segments if there are none. Ranges inside others are left out."""
+        for wanted in (lambda e: e.tag == "article", lambda e: e.main):
+            found = [(e.first, e.end) for e in self.elements if wanted(e) and not e.drop and not e.under]
+            if any(every[b] > every[a] for a, b in found):
+                out: list[tuple[int, int]] = []
+                for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
+                    if not out or b > out[-1][1]:
+                        out.append((a, b))
+                return out
+        return [(0, len(self.segments))]
 
-    def _deletable(self) -> Iterator[tuple]:
-        ranges = self.main_ranges()
+    def _deletable(self, every: list[int], ranges: list[tuple[int, int]]) -> Iterator[_Element]:
         whole = ranges == [(0, len(self.segments))]
+        starts = [a for a, _ in ranges]
         for e in self.elements:
-            a, b, tag, _, main, _ = e
-            if main or tag in ("html", "body") or not any(s and not s.isspace() for s in self.segments[a:b]):
+            if e.main or e.tag in ("html", "body") or every[e.end] == every[e.first]:
                 continue
-            if whole or tag in _CONTAINERS or not any(x <= a and b <= y for x, y in ranges):
+            i = bisect_right(starts, e.first) - 1
+            if whole or e.tag in _CONTAINERS or not (i >= 0 and e.end <= ranges[i][1]):
                 yield e
 
+    def found(self) -> tuple[list[int], list[int], list[bool], list[float]]:
+        """Hashes of the elements that may be deleted as template: those of the words; and those of shapes, whether each stands in the page's body, and its share of the text."""
+        every, own = self._counts()
+        ranges = self.main_ranges(every)
+        codes = sorted({e.code for e in self._deletable(every, ranges)})
+        body = next((e for e in self.elements if own[-1] and own[e.end] - own[e.first] >= BODY_SHARE * own[-1]), None)
+        shapes: dict[int, tuple[bool, float]] = {}
+        if ranges == [(0, len(self.segments))]:
+            for e in self.elements:
+                if not e.drop and not e.under and e.tag not in ("html", "body") and every[e.end] > every[e.first]:
+                    inside = body is not None and body.first <= e.first and e.end <= body.end and e is not body
+                    before = shapes.get(e.shape, (False, 0.0))
+                    shapes[e.shape] = before[0] or inside, before[1] + (every[e.end] - every[e.first]) / every[-1]
+        return codes, list(shapes), [x for x, _ in shapes.values()], [x for _, x in shapes.values()]
+
     def text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
         """The main text without dropped and template elements, white space as single spaces."""
+        every, _ = self._counts()
+        ranges = self.main_ranges(every)
+        whole = ranges == [(0, len(self.segments))]
         keep = bytearray(len(self.segments))
-        for a, b in self.main_ranges():
+        for a, b in ranges:
             keep[a:b] = b"\1" * (b - a)
-        for a, b, _, drop, _, _ in self.elements:
-            if drop:
-                keep[a:b] = bytes(b - a)
+        gone = [(e.first, e.end) for e in self.elements if e.drop and not e.under]
         if template:
-            for a, b, *_, code in self._deletable():
-                if code in template:
-                    keep[a:b] = bytes(b - a)
+            gone += [(e.first, e.end) for e in self._deletable(every, ranges) if e.code in template or whole and e.shape in template]
+        done = 0
+        for a, b in sorted(gone, key=lambda x: (x[0], -x[1])):
+            if b > done:
+                a = max(a, done)
+                keep[a:b] = bytes(b - a)
+                done = b
         return " ".join("".join([" " if s is None else s for s, k in zip(self.segments, keep, strict=True) if k or s is None]).split())
 
 
@@ -200,20 +288,26 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def make():
         def work(part):
-            keys, found = [], []
+            keys, found = [], ([], [], [], [])
             for source in part.column("html").to_pylist():
                 page = Page(source or "")
-                keys.append(xxhash.xxh64_intdigest(page.text().encode("utf-8", "replace")) - (1 << 63))
-                found.append(page.hashes())
-            return {"host": part.column("host"), "page": keys, "codes": found}
+                keys.append(_code(page.text()))
+                for column, got in zip(found, page.found(), strict=True):
+                    column.append(got)
+            return {"host": part.column("host"), "page": keys} | dict(zip(("codes", "shapes", "inside", "part"), found, strict=True))
 
         return work
 
-    seen = stash(map_slices(pages.where("host != ''").select("host", "html"), "html", make, "host string, page long, codes array<long>"), "subtrees")
+    kind = "host string, page long, codes array<long>, shapes array<long>, inside array<boolean>, part array<double>"
+    seen = stash(map_slices(pages.where("host != ''").select("host", "html"), "html", make, kind), "subtrees")
     total = seen.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counted = seen.select("host", "page", F.explode("codes").alias("code")).distinct().groupBy("host", "code").agg(F.count(F.lit(1)).alias("n"))
-    often = counted.where(F.col("n") >= LEAST_PAGES).join(total, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("code").alias("template"))
+    words = seen.select("host", "page", F.explode("codes").alias("code")).select("host", "page", "code", F.lit(False).alias("shape"), F.lit(False).alias("inside"), F.lit(0.0).alias("part"))
+    shape = seen.select("host", "page", F.explode(F.arrays_zip("shapes", "inside", "part")).alias("x")).select("host", "page", F.col("x.shapes").alias("code"), F.lit(True).alias("shape"), "x.inside", "x.part")
+    once = words.unionByName(shape).groupBy("host", "page", "code", "shape").agg(F.max("inside").alias("inside"), F.max("part").alias("part"))
+    counted = once.groupBy("host", "code", "shape").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("inside").cast("int")).alias("inside"), F.avg("part").alias("part")).where(F.col("n") >= LEAST_PAGES)
+    often = (F.col("n") >= LEAST_SHARE * F.col("pages")) | (~F.col("shape") & (F.col("n") >= MANY_PAGES))
+    fit = ~F.col("shape") | (F.col("inside") < SHAPE_INSIDE) & (F.col("part") < SHAPE_TEXT)
+    return counted.where(fit).join(total, "host").where(often).groupBy("host").agg(F.collect_list("code").alias("template"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
