@@ -14,8 +14,9 @@ LANGUAGE_GRAMS, DOCUMENT_GRAMS = 400, 300
 #: Documents of a language, about, that its profile is learned from: those of least hashed ids.
 FIT_DOCS = 4000
 UNKNOWN = "und"
-TABLE_LETTERS = 200
 _HASHED = 1 << 24
+#: Characters whose n-grams are counted at once.
+_PART = 1_000_000
 _BLANK = 32
 _LETTERS: list[np.ndarray] = []
 
@@ -53,7 +54,7 @@ def held_out(modulus: int, rest: int) -> Column:
 def learn(labelled: DataFrame, grams: int = LANGUAGE_GRAMS, fit_docs: int = FIT_DOCS) -> dict[str, list[int]]:
     """Per language its n-grams by falling frequency, from rows (doc_id, text, lang) without nulls in text and lang."""
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    picked = labelled.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(_HASHED)) < F.lit(_HASHED * fit_docs) / F.col("rows"))
+    picked = labelled.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id", "text"), F.lit(_HASHED)) < F.lit(_HASHED * fit_docs) / F.col("rows"))
 
     def make():
         def work(part):
@@ -80,8 +81,36 @@ def learn(labelled: DataFrame, grams: int = LANGUAGE_GRAMS, fit_docs: int = FIT_
     return profiles
 
 
+def document_grams(text: str, most: int = DOCUMENT_GRAMS) -> np.ndarray:
+    """The text's ``most`` most frequent n-grams, the most frequent first, ties by gram; long texts are counted part by part."""
+    s = _stream(text)
+    if len(s) < 2:
+        return np.zeros(0, np.int64)
+    grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for i in range(0, len(s), _PART):
+        # Parts share two characters; grams that lie in those alone are counted with the part before.
+        own = s[max(0, i - 2) : i + _PART]
+        new = _grams(own)
+        if i:
+            again = _grams(own[:2])
+        g, n = np.unique(new, return_counts=True)
+        if i:
+            n = n - np.bincount(np.searchsorted(g, again), minlength=len(g))
+        if len(grams):
+            every = np.concatenate([grams, g])
+            grams, back = np.unique(every, return_inverse=True)
+            counts = np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(grams)).astype(np.int64)
+        else:
+            grams, counts = g, n
+    if len(grams) > 4 * most:
+        # Those below the most-th count can't rank.
+        least = np.partition(counts, len(counts) - most)[len(counts) - most]
+        grams, counts = grams[counts >= least], counts[counts >= least]
+    return grams[np.lexsort((grams, -counts))][:most]
+
+
 class Ranker:
-    """Profiles as arrays: a document's n-grams are looked up in the union of all profiles; others take no rank."""
+    """Profiles as arrays: a document's own most frequent n-grams are looked up in each; one that a profile lacks costs its whole length."""
 
     def __init__(self, profiles: dict[str, list[int]], size: int = LANGUAGE_GRAMS):
         self.names = sorted(profiles)
@@ -90,57 +119,18 @@ class Ranker:
         self.rank = np.full((len(self.names), len(self.known)), -1, np.int64)
         for i, name in enumerate(self.names):
             self.rank[i, np.searchsorted(self.known, profiles[name])] = np.arange(len(profiles[name]))
-        # Letters get small codes, so that a gram is looked up in a table.
-        parts = np.concatenate([self.known & 0x1FFFFF, (self.known >> 21) & 0x1FFFFF, self.known >> 42]) if len(self.known) else np.zeros(0, np.int64)
-        letters = [x for x in np.unique(parts).tolist() if x not in (0, _BLANK)]
-        self.code = np.full(0x110000, 1, np.int32)  # 1: a letter of no profile
-        self.code[_BLANK] = 0
-        for i, x in enumerate(letters):
-            self.code[x] = i + 2
-        self.base = len(letters) + 2
-        #: Direct tables, but for trigrams of more letters than make a table of TABLE_LETTERS ** 3: those are searched.
-        self.tables = [np.full(self.base**n, -1, np.int32) for n in (1, 2, 3) if n < 3 or self.base <= TABLE_LETTERS]
-        self.searched: dict[int, int] = {}
-        for i, g in enumerate(self.known.tolist()):
-            chars = [c for c in (g >> 42, (g >> 21) & 0x1FFFFF, g & 0x1FFFFF) if c]
-            at = 0
-            for c in chars:
-                at = at * self.base + int(self.code[c])
-            if len(chars) <= len(self.tables):
-                self.tables[len(chars) - 1][at] = i
-            else:
-                self.searched[at] = i
-        self.keys = np.array(sorted(self.searched), np.int64)
-        self.values = np.array([self.searched[k] for k in self.keys.tolist()], np.int32)
-
-    def _trigrams(self, c: np.ndarray) -> np.ndarray:
-        at = (c[:-2].astype(np.int64) * self.base + c[1:-1]) * self.base + c[2:]
-        at = at[c[1:-1] > 0]
-        if len(self.tables) == 3:
-            return self.tables[2][at]
-        if not len(self.keys):
-            return np.full(len(at), -1, np.int32)
-        i = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
-        return np.where(self.keys[i] == at, self.values[i], -1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language and the margin to the second as a share; UNKNOWN and 0 without letters."""
-        s = _stream(text) if text else np.zeros(0, np.int64)
-        if len(s) < 2 or not self.names:
+        own = document_grams(text) if text else np.zeros(0, np.int64)
+        if not len(own) or not self.names:
             return UNKNOWN, 0.0
-        c = self.code[s]
-        one, two = self.tables[:2]
-        hits = np.concatenate([one[c[c > 0]], two[c[:-1] * self.base + c[1:]], self._trigrams(c)])
-        counts = np.bincount(hits[hits >= 0], minlength=len(self.known))
-        order = np.argsort(-counts, kind="stable")[:DOCUMENT_GRAMS]
-        order = order[counts[order] > 0]
-        if not len(order):
-            return self.names[0], 0.0
-        rank = self.rank[:, order]
-        distance = np.where(rank < 0, self.size, np.abs(rank - np.arange(len(order)))).sum(1)
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        rank = np.where(self.known[at] == own, self.rank[:, at], -1)
+        distance = np.where(rank < 0, self.size, np.abs(rank - np.arange(len(own)))).sum(1)
         best = int(np.argmin(distance))
         if len(self.names) == 1:
-            return self.names[0], 1.0 - float(distance[0]) / (self.size * len(order))
+            return self.names[0], 1.0 - float(distance[0]) / (self.size * len(own))
         second = float(np.partition(distance, 1)[1])
         return self.names[best], (second - float(distance[best])) / second if second else 0.0
 
