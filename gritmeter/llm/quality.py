@@ -2,26 +2,29 @@
 
 A document is a bag of passages of ``PASSAGE_WORDS`` consecutive words, all of
 them, to its end. Each passage is described by shape, repetition and
-character-class figures; a small network embeds it, a gated attention weighs it
-against the document's other passages, and the weighted sum is scored. Labels
-are known for documents only; the attention is learned from them.
+character-class figures and by its words and pairs of words, hashed to buckets whose
+log-odds are learned from the labels; a small network embeds it, a gated attention
+weighs it against the document's other passages, and the weighted sum is scored.
+Labels are known for documents only; the attention is learned from them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowmap import map_slices
 from .language import held_out
 from .storage import stash
-from .wordhash import Words
+from .wordhash import Words, mix
 
 PASSAGE_WORDS = 64
-#: Labelled documents that the network is fitted on at most, those of least hashed ids, and passages taken of each in fitting (scoring takes all).
-FIT_DOCS, FIT_PASSAGES = 12_000, 48
+#: Labelled documents that the network is fitted on at most, those of least hashed ids, as long as they have no more passages together; each counts with all its passages.
+FIT_DOCS, FIT_PASSAGES = 12_000, 300_000
+#: Buckets of hashed words, and as many of pairs; bounds of a bucket's log-odds.
+BUCKETS, ODDS = 4096, 3.0
 EMBED, GATE, RATE, BATCH = 24, 12, 0.01, 256
 #: Rounds over the sample at least, and steps at least.
 ROUNDS, STEPS = 20, 800
@@ -38,18 +41,29 @@ _CLASS[_PAIR, [ord(c) for c in "!?"]] = 1
 _CLASS[_SIGN, [ord(c) for c in "#$%&*|<>{}[]()=+/\\^~_@\"'-"]] = 1
 _CLASS[_LINE, 10] = 1
 _CLASS[_HIGH, 128:] = 1
-FEATURES = 23
+FEATURES = 25
+LEXICAL = 2
 
 
-def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Figures of every passage of ``texts``, and the index of each text's first; a text without words has one passage of zeros."""
+def lexicon(counts: np.ndarray) -> np.ndarray:
+    """Log-odds of label 1 by kind (words, pairs) and bucket, from ``counts`` by label, kind and bucket."""
+    share = (counts + 1.0) / (counts.sum(2, keepdims=True) + BUCKETS)
+    return np.clip(np.log(share[1]) - np.log(share[0]), -ODDS, ODDS)
+
+
+def passages(texts: list[bytes], odds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Figures of every passage of ``texts``, the index of each text's first, and of every word its passage and its buckets (word, pair with the next).
+
+    A text without words has one passage of zeros. Without ``odds`` the last
+    figures, mean log-odds of a passage's words and pairs, are 0.
+    """
     w = Words(texts)
     counts = np.diff(w.first)
     per = np.maximum(1, -(-counts // PASSAGE_WORDS))
     first = np.concatenate([[0], np.cumsum(per)])
     out = np.zeros((first[-1], FEATURES))
     if not len(w.hash):
-        return out, first
+        return out, first, np.zeros(0, np.int64), np.zeros((2, 0), np.uint16)
     doc = np.repeat(np.arange(len(texts)), counts)
     within = np.arange(len(doc)) - w.first[doc]
     bag = first[doc] + within // PASSAGE_WORDS
@@ -92,8 +106,11 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     f.append(np.add.reduceat(again, at) / n)
     f.append(np.log1p(counts[doc[at]]) / 8)
     f.append(np.log1p((b - a) / n) / 4)
+    after = np.append(w.hash[1:], np.uint64(0))
+    lex = np.stack([mix(w.hash) % np.uint64(BUCKETS), mix(w.hash * np.uint64(3) + after) % np.uint64(BUCKETS)]).astype(np.uint16)
+    f += [np.zeros(len(at))] * LEXICAL if odds is None else [np.add.reduceat(odds[k][lex[k]], at) / n for k in range(LEXICAL)]
     out[own] = np.stack(f, 1)
-    return out, first
+    return out, first, bag, lex
 
 
 class Network:
@@ -102,7 +119,7 @@ class Network:
     def __init__(self, seed: int = 5):
         r = np.random.Generator(np.random.PCG64(seed))
         g = lambda *s: r.normal(0, 1 / np.sqrt(s[0]), s)
-        self.mean, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
+        self.mean, self.scale, self.odds = np.zeros(FEATURES), np.ones(FEATURES), np.zeros((LEXICAL, BUCKETS))
         self.p = {"w": g(FEATURES, EMBED), "wb": np.zeros(EMBED), "v": g(EMBED, GATE), "vb": np.zeros(GATE), "u": g(EMBED, GATE), "ub": np.zeros(GATE), "a": g(GATE, 1)[:, 0], "c": g(EMBED, 1)[:, 0], "cb": np.zeros(1)}
 
     def forward(self, x: np.ndarray, first: np.ndarray) -> dict:
@@ -151,7 +168,7 @@ class Network:
                     self.p[k] -= RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(q[k] / (1 - 0.999**step)) + 1e-8)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        return self.forward(*passages(texts))["y"]
+        return self.forward(*passages(texts, self.odds)[:2])["y"]
 
 
 def train(documents: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Network | float:
@@ -162,22 +179,41 @@ def train(documents: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) ->
 
     def make():
         def work(part):
-            x, first = passages([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
-            bags = []
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                even = np.unique(np.linspace(a, b - 1, min(FIT_PASSAGES, b - a)).astype(int))
-                bags.append(x[even].astype("<f4").tobytes())
-            return {"doc_id": part.column("doc_id"), "quality": part.column("quality").cast(pa.int32()), "bag": bags}
+            x, first, bag, lex = passages([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
+            words, ends = np.searchsorted(bag, first).tolist(), first.tolist()
+            return {
+                "doc_id": part.column("doc_id"), "quality": part.column("quality").cast(pa.int32()), "n": np.diff(first),
+                "bag": [x[a:b].astype("<f4").tobytes() for a, b in zip(ends, ends[1:])],
+                "place": [(bag[a:b] - p).astype("<u4").tobytes() for a, b, p in zip(words, words[1:], ends)],
+                "lex": [lex[:, a:b].astype("<u2").tobytes() for a, b in zip(words, words[1:])],
+            }
 
         return work
 
-    rows = map_slices(texts, "text", make, "doc_id long, quality int, bag binary", _SLICE).collect()
+    found = stash(map_slices(texts, "text", make, "doc_id long, quality int, n long, bag binary, place binary, lex binary", _SLICE), "bags")
+    # Sizes alone go through one task, for at most FIT_DOCS ids and their repeated rows.
+    key = [F.xxhash64(F.lit("fit"), "doc_id"), F.col("doc_id"), F.xxhash64("bag")]
+    sizes = found.select("doc_id", "n", F.xxhash64("bag").alias("b")).distinct().orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id", "b").limit(fit_docs)
+    total = F.sum("n").over(Window.orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id", "b"))
+    chosen = sizes.withColumn("total", total).where((F.col("total") <= FIT_PASSAGES) | (F.col("total") == F.col("n"))).select("doc_id", "b")
+    rows = found.withColumn("b", F.xxhash64("bag")).join(F.broadcast(chosen), ["doc_id", "b"], "left_semi").orderBy(*key).limit(fit_docs).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["bag"]))
     label = np.array([r["quality"] for r in rows], float)
     if len(np.unique(label)) < 2:
         return float(label.mean()) if len(label) else 0.5
     network = Network()
-    network.fit([np.frombuffer(r["bag"], "<f4").reshape(-1, FEATURES).astype(float) for r in rows], label)
+    counts = np.zeros((2, LEXICAL, BUCKETS))
+    for r in rows:
+        for k, x in enumerate(np.frombuffer(r["lex"], "<u2").reshape(LEXICAL, -1)):
+            counts[r["quality"], k] += np.bincount(x, minlength=BUCKETS)
+    network.odds = lexicon(counts)
+    bags = []
+    for r in rows:
+        x, place = np.frombuffer(r["bag"], "<f4").reshape(-1, FEATURES).astype(float), np.frombuffer(r["place"], "<u4")
+        for k, b in enumerate(np.frombuffer(r["lex"], "<u2").reshape(LEXICAL, -1)):
+            x[:, FEATURES - LEXICAL + k] = np.bincount(place, network.odds[k][b], len(x)) / np.maximum(1, np.bincount(place, minlength=len(x)))
+        bags.append(x)
+    network.fit(bags, label)
     return network
 
 
