@@ -56,17 +56,33 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHIN
     )
 
 
-def _places(docs: DataFrame, grams: DataFrame, count: int, n: int) -> DataFrame:
-    """(rid, doc_id, n_words, pos, gram) of every place of a known shingle of ``n`` words, and a row of null gram for every document."""
+def _places(docs: DataFrame, grams: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """(rid, doc_id, n_words, pos, gram, n) of every place of a known shingle of ``sizes`` words, and a row of null gram for every document.
+
+    All lengths are looked up in one pass over ``docs``, so that a document has one rid.
+    """
     w = F.col("w")
     first, size = _inner(w)
     base = docs.select("rid", "doc_id", words(F.col("text")).alias("w")).withColumns({"f": first, "n_words": size})
-    spread = base.select("rid", "doc_id", "n_words", "f", "w", F.posexplode("w").alias("pos", "word")).withColumn("h", F.xxhash64(*[F.get(w, F.col("pos") + k) for k in range(n)]))
-    known = bounded_broadcast(grams.select(F.xxhash64(F.split("gram", " ")[0], *[F.split("gram", " ")[k] for k in range(1, n)]).alias("h"), F.col("gram").alias("known")), count, BROADCAST_SHINGLES)
-    met = spread.join(known, "h", "left")
-    here = (F.col("pos") >= F.col("f")) & (F.col("pos") + n <= F.col("f") + F.col("n_words")) & (F.col("known") == _gram(w, F.col("pos"), n))
+    here = lambda n: F.xxhash64(*[F.get(w, F.col("pos") + k) for k in range(n)])
+    spread = base.select("rid", "doc_id", "n_words", "f", "w", F.posexplode("w").alias("pos", "word"))
+    if len(sizes) == 1:
+        (only,) = sizes
+        spread = spread.withColumns({"n": F.lit(only), "h": here(only)})
+    else:
+        spread = spread.withColumn("x", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), here(n).alias("h")) for n in sorted(sizes)]))).withColumns({"n": F.col("x.n"), "h": F.col("x.h")}).drop("x")
+    own = F.lit(None).cast("long")
+    for n in sorted(sizes):
+        parts = F.split("gram", " ")
+        own = F.when(F.col("n") == n, F.xxhash64(*[parts[k] for k in range(n)])).otherwise(own)
+    known = bounded_broadcast(grams.select(own.alias("h"), "n", F.col("gram").alias("known")), sum(sizes.values()), BROADCAST_SHINGLES)
+    met = spread.join(known, ["h", "n"], "left")
+    same = F.lit(False)
+    for n in sorted(sizes):
+        same = F.when(F.col("n") == n, F.col("known") == _gram(w, F.col("pos"), n)).otherwise(same)
+    here = (F.col("pos") >= F.col("f")) & (F.col("pos") + F.col("n") <= F.col("f") + F.col("n_words")) & same
     met = met.where(F.col("known").isNotNull() | (F.col("pos") == 0))
-    return met.select("rid", "doc_id", F.col("n_words").cast("long"), (F.col("pos") - F.col("f")).alias("pos"), F.when(here, F.col("known")).alias("gram"), (F.col("pos") == 0).alias("head"))
+    return met.select("rid", "doc_id", F.col("n_words").cast("long"), (F.col("pos") - F.col("f")).alias("pos"), F.when(here, F.col("known")).alias("gram"), (F.col("pos") == 0).alias("head"), "n")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -81,11 +97,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     items = stash(item_windows(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"), window, shingle), "windows")
     sizes = {r["n"]: r["c"] for r in items.groupBy("n").agg(F.count_distinct("gram").alias("c")).collect()} or {shingle: 0}
     docs = documents.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    found = None
-    for n, count in sorted(sizes.items()):
-        part = _places(docs, items.where(F.col("n") == n).select("gram").distinct(), count, n).withColumn("n", F.lit(n))
-        found = part if found is None else found.unionByName(part)
-    places = stash(found, "places")
+    places = stash(_places(docs, items.select("gram", "n").distinct(), sizes), "places")
     heads = places.where(F.col("head") & (F.col("n") == min(sizes))).select("rid", "doc_id", "n_words").dropDuplicates(["rid"])
     hits = places.where("gram is not null").select("rid", "n_words", "pos", "gram", "n").distinct()
 
