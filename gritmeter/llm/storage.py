@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -13,13 +14,17 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a private one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    """This application's part of the cluster's shared folder (``spark.checkpoint.dir``); a private folder only where that is unset and the master is local.
+
+    It is removed when the driver's process ends, or before by ``clear``: results
+    are read from it until then.
+    """
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="gritmeter-")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        _OWN[app] = f"{named.rstrip('/')}/gritmeter-{app}" if named else "file://" + tempfile.mkdtemp(prefix="gritmeter-")
     return _OWN[app]
 
 
@@ -27,6 +32,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables and files of this application, on any file system; results that weren't written elsewhere can't be read afterwards."""
+    folder = _OWN.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_path(path: str) -> str:
     """File-system path of a shared folder that every executor mounts."""
     return path[len("file://"):] if path.startswith("file://") else path[5:] if path.startswith("file:") else path
@@ -41,12 +54,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def clear_own_dirs() -> None:
-    """Remove the private folders of this process (tests)."""
+    """Remove the folders of this process, those that are mounted as files; others are ``clear``'s."""
     for path in _OWN.values():
-        shutil.rmtree(local_path(path), ignore_errors=True)
+        if "://" not in path or path.startswith("file:"):
+            shutil.rmtree(local_path(path), ignore_errors=True)
     _OWN.clear()
 
 
+atexit.register(clear_own_dirs)
+
+
 def as_text(df: DataFrame, column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Only ``id_column`` and ``column``, null texts as empty ones; other columns, whatever their names, are left behind."""
     return df.select(F.col(id_column), F.coalesce(F.col(column), F.lit("")).alias(column))

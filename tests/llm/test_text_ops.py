@@ -51,11 +51,22 @@ def test_digest_likeness(make):
     assert got[1]["near_edited"] == 1.0 and got[1]["near_next"] == 1.0 and got[2]["near_next"] == 0.0 and got[3]["near_edited"] == 0.0
 
 
-def test_digest_collisions_are_told_apart(spark, make):
-    docs = make([(1, "a"), (2, "b"), (3, "c")])
-    keys = docs.selectExpr("doc_id", "'same' as h")
-    assert digest.collisions(keys, docs).count() == 0  # buckets are built on the real hash of texts fetched again
-    assert digest.collisions(keys.where("false"), docs).count() == 0
+def test_digest_collisions_are_told_apart(make, monkeypatch):
+    """With a hash of two values nearly all texts collide: equal canonical texts, and only those, keep equal fingerprints."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(digest, "wide_hash", lambda c: F.concat(F.lit("0" * 31), F.pmod(F.char_length(c), F.lit(2)).cast("string")))
+    texts = ["a", "B", "b", "c", "dd", "DD", "ee", "", None, "longer text of some words", "a"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in digest.fingerprints(make(rows)).collect()}
+    canon = lambda t: (t or "").lower()
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert (got[i]["fingerprint"] == got[j]["fingerprint"]) == (canon(a) == canon(b)), (a, b)
+        after, n = texts[(i + 1) % len(texts)] or "", len(a or "") // 4
+        edited = (a or "")[: len(a or "") - n] + after[:n]
+        assert got[i]["near_next"] == float(canon(a) == canon(after)) and got[i]["near_edited"] == float(canon(a) == canon(edited))
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
 
 
 def test_digest_empty(none):
@@ -109,6 +120,30 @@ def test_token_file_access_to_one_document(spark, make):
         tokenfile.Shard(folder, made[0]["k"], b"another dictionary")
 
 
+def test_token_file_access_to_odd_ids(spark, make):
+    ids = [None, None, -(2**63), -5, 0, 7, 7, 2**63 - 1]
+    docs = make([(i, f"text {k}") for k, i in enumerate(ids)])
+    folder = new_path(spark, "tokens")
+    made = tokenfile.write(docs, folder, BPE, shards=2)
+    for i in set(ids):
+        assert sum(len(tokenfile.Shard(folder, s["k"]).document(i)) for s in made) == ids.count(i)
+    assert sum(len(tokenfile.Shard(folder, s["k"]).document(6)) for s in made) == 0
+    assert sorted((r["doc_id"] for r in tokenfile.read(spark, folder).collect()), key=str) == sorted(ids, key=str)
+
+
+def test_ranges_of_ids(spark):
+    from pyspark.sql import functions as F
+
+    from gritmeter.llm.ordering import id_bounds, is_bound, order_key, shard_of
+
+    docs = spark.range(5000).select(F.when(F.col("id") % 7 > 0, F.col("id") * 3 - 600).alias("doc_id"))
+    for shards in (1, 2, 3, 100, 700):
+        bounds = id_bounds(docs, shards)
+        assert bounds == sorted(set(bounds)) and len(bounds) <= shards + 1
+        for o, k, at in docs.select(order_key().alias("o"), shard_of(order_key(), bounds).alias("k"), is_bound(order_key(), bounds).alias("b")).collect():
+            assert k == np.searchsorted(bounds, o, "right") - 1 and at == (o in bounds[1:])
+
+
 def test_token_files_empty(none):
     assert tokenfile.round_trip(none, BPE).count() == 0
 
@@ -135,6 +170,13 @@ def test_separator_scan_of_a_text_that_holds_the_separator(spark, make):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(i, len(lib.encode(t).ids)) for i, t in rows]
 
 
+def test_separator_scan_of_wide_ids(make):
+    rows = [(1, "a b"), (2, None), (3, "c d e")]
+    got = tokencounts.token_counts(make(rows), BPE, 70_000).collect()
+    lib = Tokenizer.from_file(BPE)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(i, len(lib.encode(t or "").ids)) for i, t in rows]
+
+
 def test_separator_scan_of_an_unended_file(spark):
     folder = new_path(spark, "flat")
     tokenfile._fs(folder)[0].create_dir(tokenfile._fs(folder)[1], recursive=True)
