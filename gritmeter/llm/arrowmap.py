@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -27,8 +28,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as a worker is kept for the tasks of later stages; does nothing where the C library can't."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def map_slices(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
-    """``make()`` runs once a task and returns a function from a slice to columns of ``schema``."""
+    """``make()`` runs once a task and returns a function from a slice to columns of ``schema``; its attribute ``done``, if it has one, is called at the task's end."""
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
     arrow = to_arrow_schema(kind)
@@ -39,5 +48,8 @@ def map_slices(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Recor
             for part in slices(batch, column, limit):
                 got = work(part)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
+        if done := getattr(work, "done", None):
+            done()
+        give_back()
 
     return df.mapInArrow(run, kind)

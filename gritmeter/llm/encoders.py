@@ -91,7 +91,7 @@ class ByteLevelEncoder:
         """Ids of all ``texts`` one after another, ``end_id`` after each if given, and the bounds of each text's, one more than texts."""
         store = self.pieces
         if store.n > store.limit:
-            store.keep(store.often())
+            store.keep(store.often(store.limit // 2))
         whole: dict[int, str] = {}
         for s in self.special:
             for i in np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False)).tolist():

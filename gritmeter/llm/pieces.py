@@ -28,15 +28,15 @@ from .wordhash import mix
 DROPOUT, SEED = 0.1, 17
 #: Runs, with and without skipped candidates, that a worker keeps, about 200 bytes each.
 CACHE_RUNS = 1_500_000
-#: The same where other stages' workers share the executor, as in the pipeline.
-SHARED_CACHE_RUNS = 700_000
+#: The same where other stages share the executor, as in the pipeline, and what is kept of that between tasks.
+SHARED_CACHE_RUNS, RESTING_RUNS = 150_000, 30_000
 #: Candidates of a run beyond which results with skipped ones aren't kept.
 LONG = 40
 #: Key of a run with a skipped candidate: row of what it was without, then the candidate's number in so many bits.
 _BITS = 12
 #: Characters of a run beyond which it is worked on alone; the rank of what can't be merged.
 _WIDEST, _NEVER = 32, 1 << 40
-_SLICE = 4_000_000
+_SLICE, _SHARED_SLICE = 4_000_000, 500_000
 _GOLDEN, _DRAW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _CODERS: dict[tuple, PieceCoder] = {}
 
@@ -148,8 +148,8 @@ class PieceCoder:
             out[i] = self.segment(runs[i], skips[i])
         order = np.flatnonzero(known)
         order = order[np.argsort(size[order], kind="stable")]
-        for i in range(0, len(order), 16_384):
-            own = order[i : i + 16_384]
+        for i in range(0, len(order), 4096):
+            own = order[i : i + 4096]
             for j, got in zip(own.tolist(), self._together(letters, first[own], size[own], [skips[j] for j in own.tolist()]), strict=True):
                 out[j] = got
         return out
@@ -242,10 +242,15 @@ class PieceCoder:
             rows = list(map(s.row.get, keys))
         return rows
 
-    def _forget(self) -> None:
-        """Keep what was asked for most, and what that came from."""
+    def rest(self) -> None:
+        """Keep no more than RESTING_RUNS or so."""
+        if self.known.n > RESTING_RUNS:
+            self._forget(RESTING_RUNS)
+
+    def _forget(self, most: int) -> None:
+        """Keep the ``most`` that were asked for most, and what those came from."""
         s = self.known
-        kept = s.often()
+        kept = s.often(most)
         up = s.parent[: s.n]
         while (lost := np.flatnonzero(kept & (up >= 0) & ~kept[up])).size:
             kept[up[lost]] = True
@@ -279,7 +284,7 @@ class PieceCoder:
         """Ids of all ``texts`` (no nulls) one after another, and the bounds of each text's, one more than texts; an empty text has none."""
         s = self.known
         if s.n > s.limit:
-            self._forget()
+            self._forget(s.limit // 2)
         data, bounds = flat(texts)
         full = np.flatnonzero(bounds[1:] > bounds[:-1])
         data = np.insert(data, bounds[full], 32)
@@ -412,7 +417,9 @@ def _encoded(documents: DataFrame, model: str, dropout: float, seed: int, give_i
             }
             return got | {"ids": _lists(ids, at)} if give_ids else got
 
+        if give_ids:
+            work.done = code.rest
         return work
 
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return map_slices(docs, "text", make, "doc_id long, n_tokens long, ids_crc32 long, lossless boolean" + ", ids array<int>" * give_ids, _SLICE)
+    return map_slices(docs, "text", make, "doc_id long, n_tokens long, ids_crc32 long, lossless boolean" + ", ids array<int>" * give_ids, _SHARED_SLICE if give_ids else _SLICE)

@@ -184,13 +184,13 @@ def train(documents: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) ->
             return {
                 "doc_id": part.column("doc_id"), "quality": part.column("quality").cast(pa.int32()), "n": np.diff(first),
                 "bag": [x[a:b].astype("<f4").tobytes() for a, b in zip(ends, ends[1:])],
-                "place": [(bag[a:b] - p).astype("<u4").tobytes() for a, b, p in zip(words, words[1:], ends)],
+                "size": [np.bincount(bag[a:b] - p, minlength=q - p).astype("u1").tobytes() for a, b, p, q in zip(words, words[1:], ends, ends[1:])],
                 "lex": [lex[:, a:b].astype("<u2").tobytes() for a, b in zip(words, words[1:])],
             }
 
         return work
 
-    found = stash(map_slices(texts, "text", make, "doc_id long, quality int, n long, bag binary, place binary, lex binary", _SLICE), "bags")
+    found = stash(map_slices(texts, "text", make, "doc_id long, quality int, n long, bag binary, size binary, lex binary", _SLICE), "bags")
     # Sizes alone go through one task, for at most FIT_DOCS ids and their repeated rows.
     key = [F.xxhash64(F.lit("fit"), "doc_id"), F.col("doc_id"), F.xxhash64("bag")]
     sizes = found.select("doc_id", "n", F.xxhash64("bag").alias("b")).distinct().orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id", "b").limit(fit_docs)
@@ -209,10 +209,12 @@ def train(documents: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) ->
     network.odds = lexicon(counts)
     bags = []
     for r in rows:
-        x, place = np.frombuffer(r["bag"], "<f4").reshape(-1, FEATURES).astype(float), np.frombuffer(r["place"], "<u4")
+        x, size = np.frombuffer(r["bag"], "<f4").reshape(-1, FEATURES).copy(), np.frombuffer(r["size"], "u1")
+        place = np.repeat(np.arange(len(x)), size)
         for k, b in enumerate(np.frombuffer(r["lex"], "<u2").reshape(LEXICAL, -1)):
-            x[:, FEATURES - LEXICAL + k] = np.bincount(place, network.odds[k][b], len(x)) / np.maximum(1, np.bincount(place, minlength=len(x)))
+            x[:, FEATURES - LEXICAL + k] = np.bincount(place, network.odds[k][b], len(x)) / np.maximum(1, size)
         bags.append(x)
+    del rows
     network.fit(bags, label)
     return network
 

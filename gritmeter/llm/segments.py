@@ -76,10 +76,10 @@ class Store:
         at += np.arange(total)
         return self.pool[at], ends
 
-    def often(self) -> np.ndarray:
-        """Mask of the rows to keep when over the limit: those asked for most, half the limit of them."""
+    def often(self, most: int) -> np.ndarray:
+        """Mask of the ``most`` rows that were asked for most."""
         keep = np.zeros(self.n, bool)
-        keep[np.argsort(-self.asked[: self.n], kind="stable")[: self.limit // 2]] = True
+        keep[np.argsort(-self.asked[: self.n], kind="stable")[:most]] = True
         return keep
 
     def keep(self, mask: np.ndarray) -> np.ndarray:
