@@ -396,6 +396,12 @@ def test_personal_data_rows(make, none):
     assert pii.personal_data(none).count() == 0
 
 
+def test_spans_that_start_together_go_by_name(make):
+    rows = {1: ("4111111111111111@x.yy", "card:0:16,email:0:21"), 2: ("000000000000.0.0.0", "card:0:12,ip:0:18"), 3: ("+4915112345679@1.2.3.4", "email:0:22,phone:0:14,ip:15:22"), 4: ("é 1.2.3.4@x.yy", "email:2:14,ip:2:9")}
+    got = {r["doc_id"]: (r["spans"], r["base_sha256"]) for r in pii.personal_data(make([(k, t) for k, (t, _) in rows.items()])).collect()}
+    assert got == {k: (s, hashlib.sha256(s.encode()).hexdigest()) for k, (_, s) in rows.items()}
+
+
 def test_masking(make):
     docs = make([(1, "write to bob@mail.example.com now"), (2, None), (3, "clean")])
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.mask(docs).collect()}
