@@ -682,10 +682,14 @@ _LARGE = [("heavy", f"src/m{i}.py", 600 + i, 30, "Python") for i in range(9)] +
 _WORST = [("heavy", "twist", "src/m3.py", 17, 44, 210, 9, 12), ("active", "bend", "src/big.ts", 5, 18, 60, 4, 2)]
 
 
-def _recommended(spark: SparkSession, d: str) -> DataFrame:
+def _fixable(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     large = X.table(spark, "repo_id string, path string, line_count int, functions bigint, language string", _LARGE)
     worst = X.table(spark, "repo_id string, name string, path string, start_line int, complexity int, line_count int, nesting int, n_complex bigint", _WORST)
-    return score.recommendations(_scores(spark, d), large, worst)
+    return _scores(spark, d), large, worst
+
+
+def _recommended(spark: SparkSession, d: str) -> DataFrame:
+    return score.recommendations(*_fixable(spark, d))
 
 
 _RULES = f"""WITH {_RATED}, {X.values("lg", "repo_id, path, line_count, functions, language", _LARGE)}, {X.values("wf", "repo_id, name, path, start_line, complexity, line_count, nesting, n_complex", _WORST)},

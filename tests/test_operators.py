@@ -102,6 +102,19 @@ def test_recommendations_are_ranked(spark):
         assert [r["estimated_reduction"] for r in own] == sorted([r["estimated_reduction"] for r in own], reverse=True)
 
 
+@pytest.mark.parametrize("name", ["recommendation_texts", "recommendations"])
+def test_fixes_are_ranked_inside_a_row(spark, monkeypatch, name):
+    """No task holds the fixes of many repositories to sort them."""
+    from gritmeter.plans.queries import QUERIES
+
+    got = QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("Window", "Sort [", "hashpartitioning") if x in plan]
+    monkeypatch.setattr(score, "BROADCAST_REPOS", -1)
+    shuffled = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, shuffled.collect()))
+
+
 def test_exit_code():
     assert [report.exit_code(*a) for a in ((51, 50), (50, 50), (0, None, True), (1, None, True), (90, None, False))] == [1, 0, 0, 1, 0]
 
