@@ -725,7 +725,7 @@ def recommendations(spark, d):
 
 @query(f"{_RULES} SELECT repo_id, priority, CAST(greatest(friction_index - sum(estimated_reduction) OVER (PARTITION BY repo_id ORDER BY priority), 0) AS INT) AS index_after FROM rk JOIN ix USING (repo_id)")
 def running_index(spark, d):
-    return score.running_index(score.index(_scores(spark, d)), _recommended(spark, d))
+    return score.running_index(*_fixable(spark, d))
 
 
 @query()

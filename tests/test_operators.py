@@ -102,7 +102,7 @@ def test_recommendations_are_ranked(spark):
         assert [r["estimated_reduction"] for r in own] == sorted([r["estimated_reduction"] for r in own], reverse=True)
 
 
-@pytest.mark.parametrize("name", ["recommendation_texts", "recommendations"])
+@pytest.mark.parametrize("name", ["recommendation_texts", "recommendations", "running_index"])
 def test_fixes_are_ranked_inside_a_row(spark, monkeypatch, name):
     """No task holds the fixes of many repositories to sort them."""
     from gritmeter.plans.queries import QUERIES
