@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,10 @@ _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _NAME = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 _KEYWORDS = frozenset(L.DUP_KEYWORDS)
 _NOT_LINES = ("//", "#")
+#: Words whose normal forms a worker keeps, and their longest.
+_KEPT_WORDS, _KEPT_LETTERS = 100_000, 40
+#: Files with a place in a cluster up to which their names go to every task; beyond it the same join runs shuffled.
+BROADCAST_FILES = 1_000_000
 
 
 def normalize(chunk: str) -> str:
@@ -31,6 +36,34 @@ def normalize(chunk: str) -> str:
     return " ".join(named.split())
 
 
+class _Words(dict):
+    """Normal forms of words without quoted spans."""
+
+    def __missing__(self, word: str) -> str:
+        plain = _NAME.sub(lambda m: m.group() if m.group() in _KEYWORDS else "_ID_", word)
+        if len(word) <= _KEPT_LETTERS and len(self) < _KEPT_WORDS:
+            self[word] = plain
+        return plain
+
+
+_WORDS = _Words()
+
+
+def _normal_line(line: str) -> tuple[str, int] | None:
+    """Normal form of a line and its keywords, the same in whatever chunk; None if a quote that it doesn't close makes it depend on other lines."""
+    if '"' in line or "'" in line:
+        rest = _QUOTED.sub("", line)
+        if '"' in rest or "'" in rest:
+            return None
+        line = _QUOTED.sub('"_"', line)
+    words = line.split()
+    return " ".join(map(_WORDS.__getitem__, words)), sum(map(_KEYWORDS.__contains__, words))
+
+
+def _bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def lines_of(content: str) -> list[str]:
     lines = content.split("\n")
     if lines[-1] == "":
@@ -42,10 +75,24 @@ def chunks_of(content: str) -> Iterator[tuple[int, str, str]]:
     """(recorded line, raw chunk, normalised chunk) of the windows that pass the thresholds. The line recorded is that after the step, as readers of such reports expect."""
     lines = lines_of(content)
     step = 4 if len(lines) > 2000 else 2 if len(lines) > 500 else 1
+    if len(lines) < L.CHUNK_LINES:
+        return
     kept = [x if (x := line.strip()) and not x.startswith(_NOT_LINES) else None for line in lines]
+    # A line stands in eight windows: it is normalised once, and sums up to each line tell what passes.
+    normal = [_normal_line(x) if x else None for x in kept]
+    n_raw, n_plain, n_words, n_open = ([0, *accumulate(x)] for x in (
+        [_bytes(x) + 1 if x else 0 for x in kept], [_bytes(x[0]) + 1 if x else 0 for x in normal], [x[1] if x else 0 for x in normal], [x is not None and y is None for x, y in zip(kept, normal, strict=True)],
+    ))
     for start in range(0, len(lines) - L.CHUNK_LINES + 1, step):
-        raw = "\n".join([x for x in kept[start : start + L.CHUNK_LINES] if x])
-        if len(raw.encode()) < L.CHUNK_BYTES:
+        end = start + L.CHUNK_LINES
+        if n_raw[end] - n_raw[start] - 1 < L.CHUNK_BYTES:
+            continue
+        whole = n_open[end] == n_open[start]
+        if whole and (n_plain[end] - n_plain[start] - 1 < L.CHUNK_NORMAL_BYTES or n_words[end] - n_words[start] < L.CHUNK_KEYWORDS):
+            continue
+        raw = "\n".join([x for x in kept[start:end] if x])
+        if whole:
+            yield start + step, raw, " ".join([x[0] for x in normal[start:end] if x])
             continue
         plain = normalize(raw)
         if len(plain.encode()) >= L.CHUNK_NORMAL_BYTES and sum(t in _KEYWORDS for t in plain.split()) >= L.CHUNK_KEYWORDS:
@@ -94,16 +141,19 @@ def locations(files: DataFrame) -> DataFrame:
 
 def similarity(files: DataFrame) -> DataFrame:
     """(repo_id, cluster, similarity): least Jaccard of the word sets of a cluster's first chunk (by path and line) and any other."""
-    keyed = cut(chunks(files))
+    keyed = cut(chunks(files.repartition("path")))
     found = cut(clusters(files, keyed))
     named = found.select("repo_id", "cluster")
-    # Only files that have a place in a cluster are cut again, and only chunks of clusters become word sets.
-    again = files.join(keyed.join(named, ["repo_id", "cluster"], "left_semi").select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
+    # Only files that have a place in a cluster are moved and cut again, and only chunks of clusters become word sets.
+    owners = cut(keyed.join(named, ["repo_id", "cluster"], "left_semi").select("repo_id", "path").distinct())
+    again = files.join(F.broadcast(owners) if owners.count() <= BROADCAST_FILES else owners, ["repo_id", "path"], "left_semi").repartition("path")
     words = F.array_distinct(F.filter(F.split("raw", r"\s+"), lambda w: w != ""))
-    raw = cut(chunks(again, True).join(named, ["repo_id", "cluster"], "left_semi").select("repo_id", "cluster", "path", "line", words.alias("words")))
-    first = raw.join(found.select("repo_id", "cluster", F.col("first_path").alias("path"), F.col("first_line").alias("line")), ["repo_id", "cluster", "path", "line"]).select("repo_id", "cluster", F.col("words").alias("w0"))
-    share = F.when(F.size(F.array_union("w0", "words")) == 0, 1.0).otherwise(F.size(F.array_intersect("w0", "words")) / F.size(F.array_union("w0", "words")))
-    return raw.join(first, ["repo_id", "cluster"]).groupBy("repo_id", "cluster").agg(F.min(share).alias("similarity"))
+    at_first = (F.col("path") == F.col("first_path")) & (F.col("line") == F.col("first_line"))
+    raw = cut(chunks(again, True).join(found.select("repo_id", "cluster", "first_path", "first_line"), ["repo_id", "cluster"]).select("repo_id", "cluster", at_first.alias("at_first"), words.alias("words")))
+    first = raw.where("at_first").select("repo_id", "cluster", F.col("words").alias("w0"))
+    both = raw.join(first, ["repo_id", "cluster"]).select("repo_id", "cluster", (F.size("w0") + F.size("words")).alias("n"), F.size(F.array_intersect("w0", "words")).alias("shared"))
+    share = F.when(F.col("n") == 0, 1.0).otherwise(F.col("shared") / (F.col("n") - F.col("shared")))
+    return both.groupBy("repo_id", "cluster").agg(F.min(share).alias("similarity"))
 
 
 def duplicate_totals(found: DataFrame) -> DataFrame:

@@ -316,9 +316,9 @@ _CHUNKS = (
 )
 
 
-def _dup_files(spark: SparkSession, d: str) -> DataFrame:
+def _dup_files(spark: SparkSession, d: str, spread: bool = True) -> DataFrame:
     rows = _read(spark, d, "documents").where("text is not null").select(F.col("lang").alias("repo_id"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
-    return rows.repartition("path")
+    return rows.repartition("path") if spread else rows
 
 
 @query(f"WITH {_CHUNKS} SELECT repo_id, cluster, n_locations, n_files, f.path AS first_path, f.line AS first_line, 8 AS line_count FROM cs")
@@ -337,7 +337,7 @@ def dup_locations(spark, d):
     "SELECT repo_id, cluster, min(len(list_intersect(w0, w)) / len(list_distinct(list_concat(w0, w)))) AS similarity FROM wd JOIN w0 USING (repo_id, cluster) GROUP BY 1, 2"
 )
 def dup_similarity(spark, d):
-    return duplication.similarity(_dup_files(spark, d))
+    return duplication.similarity(_dup_files(spark, d, spread=False))
 
 
 @query(f"WITH {_CHUNKS} SELECT repo_id, count(*) AS cluster_count, CAST(8 * sum(n_locations) AS BIGINT) AS duplicate_lines FROM cs GROUP BY 1")

@@ -1,3 +1,4 @@
+import random
 import subprocess
 
 import pytest
@@ -6,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gritmeter import api
+from gritmeter import lookups as L
 from gritmeter.operators import duplication, graph
 from gritmeter.plans import fixtures as X
 from gritmeter.plans import report, score
@@ -83,6 +85,46 @@ def test_normalize():
     assert list(duplication.chunks_of("short\n" * 7)) == []
 
 
+def _chunks_by_definition(content):
+    """Every window normalised as a whole."""
+    lines = duplication.lines_of(content)
+    step = 4 if len(lines) > 2000 else 2 if len(lines) > 500 else 1
+    for start in range(0, len(lines) - 7, step):
+        raw = "\n".join([x for x in map(str.strip, lines[start : start + 8]) if x and not x.startswith(("//", "#"))])
+        plain = duplication.normalize(raw)
+        if len(raw.encode()) >= 60 and len(plain.encode()) >= 30 and sum(t in L.DUP_KEYWORDS for t in plain.split()) >= 2:
+            yield start + step, raw, plain
+
+
+def test_chunks_against_their_definition():
+    rng, found = random.Random(3), 0
+    parts = ["if", "for x", "a1if", "1if", '"', "'", "''", '"a b"', "'c", "  ", "\t", "\n", "\n", "\r\n", "\x0b", "\x0c", "\u2028", "\x85", "\xa0", "#", "//", "é", "return", "name_of_it", "();", "9", "日本", "while("]
+    for n in [40, 300, 400] * 300 + [4000, 9000] * 3:
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(n)))
+        got = list(duplication.chunks_of(text))
+        assert got == list(_chunks_by_definition(text))
+        found += len(got)
+    assert found > 1000
+
+
+def test_a_line_is_normalised_once(monkeypatch):
+    """Windows overlap by seven lines of eight: only those with a quote that stays open in its line are normalised as a whole."""
+    asked = []
+    monkeypatch.setattr(duplication, "normalize", lambda x, f=duplication.normalize: asked.append(x) or f(x))
+    lines = [f"if value_{i} is None: return 'none of {i}' # and more of it" for i in range(100)]
+    assert len(list(duplication.chunks_of("\n".join(lines)))) == 93 and not asked
+    lines[50] += " don't"
+    assert len(list(duplication.chunks_of("\n".join(lines)))) == 93 and len(asked) == 8
+
+
+def test_similarity_shuffled(spark, monkeypatch):
+    rows = [("r", f"p{i}", "\n".join(f"if value_{i}_{j} is None: return other_value_{j} and more" for j in range(12))) for i in range(4)] + [("r", "none", "x")]
+    files = spark.createDataFrame(rows, "repo_id string, path string, content string")
+    got = sorted(map(tuple, duplication.similarity(files).collect()))
+    monkeypatch.setattr(duplication, "BROADCAST_FILES", -1)
+    assert got and got == sorted(map(tuple, duplication.similarity(files).collect()))
+
+
 def test_score_bounds(spark):
     wide = X.score_table(spark, spark.createDataFrame([(7,), (8,)], "c_custkey long"))
     rows = score.dimensions(wide).collect()
