@@ -147,11 +147,13 @@ def similarity(files: DataFrame) -> DataFrame:
     # Only files that have a place in a cluster are moved and cut again, and only chunks of clusters become word sets.
     owners = cut(keyed.join(named, ["repo_id", "cluster"], "left_semi").select("repo_id", "path").distinct())
     again = files.join(F.broadcast(owners) if owners.count() <= BROADCAST_FILES else owners, ["repo_id", "path"], "left_semi").repartition("path")
-    words = F.array_distinct(F.filter(F.split("raw", r"\s+"), lambda w: w != ""))
     at_first = (F.col("path") == F.col("first_path")) & (F.col("line") == F.col("first_line"))
-    raw = cut(chunks(again, True).join(found.select("repo_id", "cluster", "first_path", "first_line"), ["repo_id", "cluster"]).select("repo_id", "cluster", at_first.alias("at_first"), words.alias("words")))
-    first = raw.where("at_first").select("repo_id", "cluster", F.col("words").alias("w0"))
-    both = raw.join(first, ["repo_id", "cluster"]).select("repo_id", "cluster", (F.size("w0") + F.size("words")).alias("n"), F.size(F.array_intersect("w0", "words")).alias("shared"))
+    # Chunks travel as text, a third of the size of their word sets.
+    raw = cut(chunks(again, True).join(found.select("repo_id", "cluster", "first_path", "first_line"), ["repo_id", "cluster"]).select("repo_id", "cluster", at_first.alias("at_first"), "raw"))
+    words = F.array_distinct(F.filter(F.split("raw", r"\s+"), lambda w: w != ""))
+    first = raw.where("at_first").select("repo_id", "cluster", words.alias("w0"))
+    both = raw.select("repo_id", "cluster", "raw").join(first, ["repo_id", "cluster"]).select("repo_id", "cluster", "w0", words.alias("words"))
+    both = both.select("repo_id", "cluster", (F.size("w0") + F.size("words")).alias("n"), F.size(F.array_intersect("w0", "words")).alias("shared"))
     share = F.when(F.col("n") == 0, 1.0).otherwise(F.col("shared") / (F.col("n") - F.col("shared")))
     return both.groupBy("repo_id", "cluster").agg(F.min(share).alias("similarity"))
 
